@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, near_dup, sharding, url_filter
+from . import common, decontaminate, mixing, near_dup, sharding, url_filter
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 MIX_WEIGHTS, MIX_REPEATS = (5.0, 2.0, 1.0), 3
@@ -17,6 +17,11 @@ def op1_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.with_classes(docs).select("doc_id", "class_id", "class_rows", "class_texts")
 
 
+def op4_containment_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contained_items(docs, common.read(spark, sf_dir, "benchmark"))
+
+
 def op6_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = mixing.mix_sources(
@@ -59,6 +64,7 @@ def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_probminhash_dedup": op1_probminhash_dedup,
+    "op4_containment_leaks": op4_containment_leaks,
     "op6_sainte_lague_mix": op6_sainte_lague_mix,
     "op9_bloom_cascade_urls": op9_bloom_cascade_urls,
     "op10_stratified_shards": op10_stratified_shards,
