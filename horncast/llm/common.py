@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Spark's own words for white space between words; a word is a run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that one task ranks in one window, on average.
-RANK_BLOCK_ROWS = 20_000
+RANK_BLOCK_ROWS = 1_000
 
 
 def by_value() -> None:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, mixing, near_dup, sharding, url_filter
+from . import common, decontaminate, language_id, mixing, near_dup, quality_crf, sharding, url_filter
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 MIX_WEIGHTS, MIX_REPEATS = (5.0, 2.0, 1.0), 3
 SHARDS = 16
+QUALITY_CUT = 0.3
 
 
 def op1_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,11 +18,27 @@ def op1_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.with_classes(docs).select("doc_id", "class_id", "class_rows", "class_texts")
 
 
+def op2_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = common.read(spark, sf_dir, "labels").select("doc_id", "quality").where(~quality_crf.held_out("doc_id", 5, 0))
+    model = quality_crf.train(docs, labels, id_column="doc_id", text="text", label="quality")
+    scored = quality_crf.score_texts(docs, model)
+    predicted = F.when(F.col("score") >= QUALITY_CUT, 1).otherwise(0)
+    return scored.select("doc_id", quality_crf.held_out("doc_id", 5, 0).alias("held_out"), "score", predicted.alias("predicted"), "n_lines")
+
+
 def op4_containment_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.contained_items(docs, common.read(spark, sf_dir, "benchmark"))
 
 
+def op5_word_first_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = quality_crf.held_out("doc_id", 3, 1)
+    model = language_id.train(docs.where(~held_out), text="text", lang="lang")
+    return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = mixing.mix_sources(
@@ -64,7 +81,9 @@ def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_probminhash_dedup": op1_probminhash_dedup,
+    "op2_crf_quality": op2_crf_quality,
     "op4_containment_leaks": op4_containment_leaks,
+    "op5_word_first_language": op5_word_first_language,
     "op6_sainte_lague_mix": op6_sainte_lague_mix,
     "op9_bloom_cascade_urls": op9_bloom_cascade_urls,
     "op10_stratified_shards": op10_stratified_shards,
