@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, language_id, mixing, near_dup, quality_crf, sharding, url_filter
+from . import ann_tree, chat, common, decontaminate, language_id, mixing, near_dup, quality_crf, sharding, url_filter, warc
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 MIX_WEIGHTS, MIX_REPEATS = (5.0, 2.0, 1.0), 3
@@ -27,6 +27,29 @@ def op2_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_crf.held_out("doc_id", 5, 0).alias("held_out"), "score", predicted.alias("predicted"), "n_lines")
 
 
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    records = warc.read_archive(spark, warc.write_archive(pages))
+    return records.select(
+        F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")
+    )
+
+
+#: SHA-1 in base 32: each group of 10 hexadecimal digits is 40 bits, or 8 digits of 5 bits.
+_DIGITS = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {1 + 10 * g}, 10))::UBIGINT >> {35 - 5 * i}) & 31)::INT, 1)" for g in range(4) for i in range(8)
+)
+OP3_SQL = f"""
+WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+heads AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS h FROM bodies),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS original FROM heads)
+SELECT page_id, payload_bytes, {_DIGITS} AS payload_digest,
+       CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = original THEN NULL ELSE original END AS refers_to
+FROM firsts
+"""
+
+
 def op4_containment_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.contained_items(docs, common.read(spark, sf_dir, "benchmark"))
@@ -47,6 +70,21 @@ def op6_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op7_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann_tree.search(vectors, lambda i: i % 20 == 0, id_column="vec_id", vector="embedding", k=20)
+
+
+def op8_typed_parts_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = common.read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")
+    )
+    formatted = chat.format_conversations(turns.unionByName(extra), chat.text_parts(F.col("text")))
+    return chat.digests(formatted, "conv_id")
+
+
 def op9_bloom_cascade_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = common.read(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -82,11 +120,14 @@ def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_probminhash_dedup": op1_probminhash_dedup,
     "op2_crf_quality": op2_crf_quality,
+    "op3_warc_revisits": op3_warc_revisits,
     "op4_containment_leaks": op4_containment_leaks,
     "op5_word_first_language": op5_word_first_language,
     "op6_sainte_lague_mix": op6_sainte_lague_mix,
+    "op7_kmeans_tree_search": op7_kmeans_tree_search,
+    "op8_typed_parts_chat": op8_typed_parts_chat,
     "op9_bloom_cascade_urls": op9_bloom_cascade_urls,
     "op10_stratified_shards": op10_stratified_shards,
 }
 
-ORACLES = {"op9_bloom_cascade_urls": OP9_SQL}
+ORACLES = {"op3_warc_revisits": OP3_SQL, "op9_bloom_cascade_urls": OP9_SQL}
