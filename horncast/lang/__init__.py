@@ -1 +1 @@
-"""Part of the deductive engine."""
+"""The theory language: lexer, syntax tree, parser, diagnostics."""
