@@ -12,12 +12,13 @@ a register with probability J_P.
 
 Search: ``BANDS`` bands of ``ROWS`` registers.  Texts that are equal are one node (the key is a hash of the
 text), so copies are collapsed by one aggregation and cost nothing later.  Texts that agree in a band are
-candidates.  A bucket is never expanded into its pairs: it has a leader (another in each band, so that a
-group of near copies has up to ``BANDS`` leaders), and each member is tested against that one only.  After
-each round the verified links are merged into classes; a bucket whose members are all of one class is done.
-In the others, members are tested against eight times as many leaders in the next round, unless they are
-already of one class; the last round has every member as a leader.  So no pair of candidates of different
-classes is left untested, while a group of n copies costs about n tests.
+candidates.  A bucket is never expanded into its pairs: it has a leader, and each member is tested against
+that one only.  The verified links are merged into classes; a bucket whose members are all of one class is
+done.  In the others, members are dropped that provably have no link: too many of their shingles are in no
+other text that is still held (``still_open`` gives the bound).  What is left is tested against eight, then
+64 leaders and so on, unless already of one class; the last round has every member as a leader.  So no pair
+of candidates of different classes is left without a test or a proof, while a group of n copies costs
+about n tests.
 
 Verification: a pair's texts are joined to it and J_P is computed exactly from their shingles.
 
@@ -155,15 +156,17 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float)
     return both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a binary, b binary")
 
 
-def _mark(df: DataFrame) -> tuple:
-    return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every key points to one other, which points to none: then the edges are the classes."""
+    twice = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
+    through = edges.select(F.col("b").alias("a")).join(edges.select("a"), "a", "left_semi")
+    return twice.unionByName(through).isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """Alternating large-star and small-star (Kiveris et al.): (a, b), b the least key of a's class; only for keys with links."""
     edges = settle(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
-    was, now = None, _mark(edges)
-    while now != was and now[0]:
+    while not _is_star_forest(edges):
         for large in (True, False):
             both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
             least = settle(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), F.least("a", "m").alias("m")), "least")
@@ -175,10 +178,54 @@ def components(links: DataFrame) -> DataFrame:
             step = settle(star.where("a != b").distinct(), "edges")
             drop_scratch(edges, least)
             edges = step
-        was, now = now, _mark(edges)
     return edges
 
 
+def _pairs(led: DataFrame) -> DataFrame:
+    return led.where("key != leader").select(F.greatest("key", "leader").alias("a"), F.least("key", "leader").alias("b")).distinct()
+
+
+def unresolved(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(band, n, key, class) of the buckets whose members are of more than one class."""
+    named = members.join(classes, F.col("key") == F.col("a"), "left").select("band", "n", "key", F.coalesce("b", "key").alias("class"))
+    open_ = settle(named.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("band"), "bands")
+    return named.join(open_, "band", "left_semi")
+
+
+def bounds(held: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(key, total, own, flat): a text's shingles, those of them that no other held text has, and whether none repeats."""
+    by_value()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, data, offsets in textkern.slices(batch.column(1)):
+                h, d, w = textkern.distinct_weighted(*textkern.shingles(textkern.Words(data, offsets), shingle))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d + row)), pa.array(h.astype(np.int64)), pa.array(w.astype(np.int64))], names=["key", "shingle", "w"])
+
+    some = texts.join(held.select("key").distinct(), "key", "left_semi")
+    each = settle(some.select("key", "text").mapInArrow(work, "key binary, shingle bigint, w bigint"), "shingles")
+    rare = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.first("key").alias("key"), F.first("w").alias("w")).where("n = 1")
+    own = rare.groupBy("key").agg(F.sum("w").alias("own"))
+    whole = each.groupBy("key").agg(F.sum("w").alias("total"), (F.max("w") == 1).alias("flat"))
+    return whole.join(own, "key", "left").select("key", "total", "flat", F.coalesce("own", F.lit(0)).alias("own"))
+
+
+def still_open(held: DataFrame, alone: DataFrame, threshold: float) -> DataFrame:
+    """(band, n, key): members that may yet have a link in their bucket.
+
+    Let x have ``total`` shingles (counted with weights), ``own`` of them in no other held text.  Every shingle
+    that x shares is among the rest, so J_P(x, y) <= 1 - own / total for any y.  If no text of the bucket repeats
+    a shingle and all have at least ``least`` of them, then with s = max(least, total - own), J(x, y) <=
+    (total - own) / (s + own): y has s shingles or more, and x has ``own`` that y lacks.
+    """
+    known = held.select("band", "n", "key").join(alone, "key")
+    about = settle(known.groupBy("band").agg(F.min("total").alias("least"), F.min("flat").alias("all_flat")), "about")
+    shared = F.col("total") - F.col("own")
+    size = F.greatest("least", shared)
+    bound = F.when(F.col("all_flat"), shared / (size + F.col("own"))).otherwise(shared / F.col("total"))
+    return known.join(about, "band").where(bound >= threshold - 1e-9).select("band", "n", "key")
+
+
 def near_duplicates(
     docs: DataFrame, *, text: str = "text", id_column: str = "doc_id", shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS
 ) -> tuple[DataFrame, DataFrame]:
@@ -194,35 +241,34 @@ def near_duplicates(
     # Only texts that are candidates are ever moved; each once.
     wanted = members.select("key").distinct()
     texts = settle(keyed.select("key", "text").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "texts")
-    links = tested = classes = None
-    share = 0
+    # Round 0: a bucket's leader is the text with most company in all its buckets (it tends to be what the others
+    # were made from) or, in every other bucket, any text.
+    company = settle(members.groupBy("key").agg(F.sum("n").alias("company")), "company")
+    rank = F.when(F.col("band") % 2 == 0, F.col("company")).otherwise(F.xxhash64("key", "band"))
+    led = settle(members.join(company, "key").groupBy("band").agg(F.max_by("key", F.struct(rank, F.xxhash64("key", "band"))).alias("leader")), "leaders")
+    tested = settle(_pairs(members.join(led, "band")), "pairs")
+    links = settle(verified(tested, texts, shingle, threshold), "links")
+    classes = components(links)
+    share = 1
     while True:
-        # Leaders of this round: one for a bucket, then about 8, 64, ... of its members.
-        if share == 0:
-            led = settle(members.groupBy("band").agg(F.min_by("key", F.xxhash64("key", "band")).alias("leader")), "leaders")
-            held = members
-        else:
-            named = members.join(classes, F.col("key") == F.col("a"), "left").select("band", "n", "key", F.coalesce("b", "key").alias("class"))
-            open_ = settle(named.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("band"), "bands")
-            held = settle(named.join(open_, "band", "left_semi"), "open")
-            if held.isEmpty():
-                break
-            # n / share of the members lead; all of them once share reaches n.
-            pick = F.pmod(F.xxhash64("key", "band", F.lit(share)), F.greatest(F.expr(f"n div {share}"), F.lit(1))) == 0
-            led = settle(held.where(pick).select("band", F.col("key").alias("leader"), F.col("class").alias("leader_class")), "leaders")
-        pairs = held.join(led, "band").where("key != leader")
-        if share:
-            pairs = pairs.where("class != leader_class")
-        pairs = pairs.select(F.greatest("key", "leader").alias("a"), F.least("key", "leader").alias("b")).distinct()
-        pairs = settle(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = settle(verified(pairs, texts, shingle, threshold), "links")
-        links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        held = unresolved(members, classes)
+        if share == 1:  # most of what is left cannot have any link
+            alone = settle(bounds(held, texts, shingle), "bounds")
+            members = settle(still_open(held, alone, threshold), "members")
+            held = unresolved(members, classes)
+        held = settle(held, "open")
+        if held.isEmpty():
+            break
+        share *= LEADERS_MORE
+        pick = F.pmod(F.xxhash64("key", "band", F.lit(share)), F.greatest(F.expr(f"n div {share}"), F.lit(1))) == 0
+        led = settle(held.where(pick).select("band", F.col("key").alias("leader"), F.col("class").alias("leader_class")), "leaders")
+        pairs = _pairs(held.join(led, "band").where("class != leader_class")).join(tested, ["a", "b"], "left_anti")
+        pairs = settle(pairs, "pairs")
+        links = links.unionByName(settle(verified(pairs, texts, shingle, threshold), "links"))
+        tested = tested.unionByName(pairs)
         classes = components(links)
         # The round in which every member of an open bucket led was the last.
-        done = share and held.where(F.col("n") > 2 * share - 1).isEmpty()
-        share = share * LEADERS_MORE if share else LEADERS_MORE
-        if done:
+        if held.where(F.col("n") > 2 * share - 1).isEmpty():
             break
     ids = keyed.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     named = ids.join(classes, F.col("key") == F.col("a"), "left").select("key", F.coalesce("b", "key").alias("class_key"), "id", "n")
