@@ -1 +1 @@
-"""Part of the deductive engine."""
+"""Helpers in Python for what the language leaves to rules."""

@@ -1 +1 @@
-"""Part of the deductive engine."""
+"""Sources and sinks: files to DataFrames, natural keys to element ids and back."""

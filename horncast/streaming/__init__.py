@@ -1 +1 @@
-"""Part of the deductive engine."""
+"""Incremental closure over streams."""
