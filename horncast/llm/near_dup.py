@@ -14,11 +14,13 @@ Search: ``BANDS`` bands of ``ROWS`` registers.  Texts that are equal are one nod
 text), so copies are collapsed by one aggregation and cost nothing later.  Texts that agree in a band are
 candidates.  A bucket is never expanded into its pairs: it has a leader, and each member is tested against
 that one only.  The verified links are merged into classes; a bucket whose members are all of one class is
-done.  In the others, members are dropped that provably have no link: too many of their shingles are in no
-other text that is still held (``still_open`` gives the bound).  What is left is tested against eight, then
-64 leaders and so on, unless already of one class; the last round has every member as a leader.  So no pair
-of candidates of different classes is left without a test or a proof, while a group of n copies costs
-about n tests.
+done, which leaves texts that are close to others, but not close enough, and those that only another member
+than the leader links.  For these (``leftover_links``) the exact similarity is computed in blocks: buckets
+that share texts form a group; a group's largest class is one side and all its other texts are the other;
+blocks of at most ``BLOCK_ROWS`` texts and about ``BLOCK_BYTES`` meet in one task, where matrix products
+over the shingles that both blocks have count all overlaps at once.  Only links come out.  So no pair of
+candidates of different classes is left without an exact test, no task holds a group, and texts of the
+largest class never meet each other again.
 
 Verification: a pair's texts are joined to it and J_P is computed exactly from their shingles.
 
@@ -46,7 +48,7 @@ from .common import by_value, drop_scratch, settle
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 30, 6
-LEADERS_MORE = 8
+BLOCK_ROWS, BLOCK_BYTES, SHINGLES_AT_ONCE = 256, 1 << 20, 4096
 U = np.uint64
 
 
@@ -192,38 +194,86 @@ def unresolved(members: DataFrame, classes: DataFrame) -> DataFrame:
     return named.join(open_, "band", "left_semi")
 
 
-def bounds(held: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """(key, total, own, flat): a text's shingles, those of them that no other held text has, and whether none repeats."""
-    by_value()
+def leftover_groups(held: DataFrame, texts: DataFrame) -> DataFrame:
+    """(group, key, class, text) of the texts of unresolved buckets; texts that share a bucket are in one group."""
+    first = settle(held.groupBy("band").agg(F.min("key").alias("first")), "firsts")
+    edges = held.join(first, "band").where("key != first").select(F.col("key").alias("a"), F.col("first").alias("b"))
+    groups = components(edges)
+    keys = held.select("key", "class").distinct().join(groups, F.col("key") == F.col("a"), "left").select("key", "class", F.coalesce("b", "key").alias("group"))
+    return settle(keys.join(texts, "key").select("group", "key", "class", "text"), "leftover")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, data, offsets in textkern.slices(batch.column(1)):
-                h, d, w = textkern.distinct_weighted(*textkern.shingles(textkern.Words(data, offsets), shingle))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d + row)), pa.array(h.astype(np.int64)), pa.array(w.astype(np.int64))], names=["key", "shingle", "w"])
 
-    some = texts.join(held.select("key").distinct(), "key", "left_semi")
-    each = settle(some.select("key", "text").mapInArrow(work, "key binary, shingle bigint, w bigint"), "shingles")
-    rare = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.first("key").alias("key"), F.first("w").alias("w")).where("n = 1")
-    own = rare.groupBy("key").agg(F.sum("w").alias("own"))
-    whole = each.groupBy("key").agg(F.sum("w").alias("total"), (F.max("w") == 1).alias("flat"))
-    return whole.join(own, "key", "left").select("key", "total", "flat", F.coalesce("own", F.lit(0)).alias("own"))
+def leftover_blocks(rows: DataFrame) -> DataFrame:
+    """Rows dealt to block pairs: (group, kind, i, j, side, key, class, text).
 
+    Kind m: block i of the largest class (side l) and block j of the others (side r).  Kind o: blocks i <= j of
+    the others; where i = j, side b stands for both.
+    """
+    per = rows.groupBy("group", "class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    whole = settle(per.groupBy("group").agg(F.max_by(F.struct("class", "n", "bytes"), F.struct("n", "class")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")), "groups")
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+    shape = whole.select("group", F.col("top.class").alias("main"), blocks(F.col("top.n"), F.col("top.bytes")).alias("mains"), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("others"))
+    dealt = rows.join(shape, "group")
+    own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    columns = ["group", "kind", "i", "j", "side", "key", "class", "text"]
+    main = dealt.where("class = main").select("*", F.lit("m").alias("kind"), own("mains").alias("i"), F.explode(upto("others")).alias("j"), F.lit("l").alias("side"))
+    other = dealt.where("class != main").withColumn("at", own("others"))
+    to_main = other.select("*", F.lit("m").alias("kind"), F.explode(upto("mains")).alias("i"), F.col("at").alias("j"), F.lit("r").alias("side"))
+    to_other = other.withColumn("other", F.explode(upto("others")))
+    side = F.when(F.col("at") == F.col("other"), "b").when(F.col("at") < F.col("other"), "l").otherwise("r")
+    to_other = to_other.select("*", F.lit("o").alias("kind"), F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), side.alias("side"))
+    return main.select(columns).unionByName(to_main.select(columns)).unionByName(to_other.select(columns))
+
+
+def block_links(left: list, right: list, shingle: int, threshold: float, same: bool) -> list[tuple[bytes, bytes]]:
+    """Links between two blocks of (key, class, text) whose classes differ."""
+    if not left or not right:
+        return []
+    sets = [[weights_of(t, shingle) for _, _, t in side] for side in (left, right)]
+    flat = [(np.concatenate([h for h, _ in s]), np.repeat(np.arange(len(s)), [len(h) for h, _ in s]), np.concatenate([w for _, w in s])) for s in sets]
+    total = [np.array([w.sum() for _, w in s]) for s in sets]
+    plain = [np.array([(w == 1).all() for _, w in s]) for s in sets]
+    both = np.intersect1d(flat[0][0], flat[1][0])
+    inside = [np.isin(f[0], both) for f in flat]
+    place = [np.searchsorted(both, f[0][m]) for f, m in zip(flat, inside, strict=True)]
+    row = [f[1][m] for f, m in zip(flat, inside, strict=True)]
+    weight = [f[2][m] for f, m in zip(flat, inside, strict=True)]
+    # What of a left text's weight the right text also has, and the other way round.
+    of_left, of_right = np.zeros((len(left), len(right))), np.zeros((len(left), len(right)))
+    for a in range(0, len(both), SHINGLES_AT_ONCE):
+        held, weighed = [], []
+        for s, n in ((0, len(left)), (1, len(right))):
+            m = (place[s] >= a) & (place[s] < a + SHINGLES_AT_ONCE)
+            x, y = (np.zeros((n, min(SHINGLES_AT_ONCE, len(both) - a)), np.float32) for _ in "xy")
+            x[row[s][m], place[s][m] - a] = 1
+            y[row[s][m], place[s][m] - a] = weight[s][m]
+            held.append(x)
+            weighed.append(y)
+        of_left += weighed[0] @ held[1].T
+        of_right += held[0] @ weighed[1].T
+    share = np.minimum(of_left / np.maximum(total[0], 1)[:, None], of_right / np.maximum(total[1], 1)[None, :])  # J_P is at most this
+    apart = np.array([c for _, c, _ in left], dtype=object)[:, None] != np.array([c for _, c, _ in right], dtype=object)[None, :]
+    near = (share >= threshold - 1e-6) & apart
+    if same:
+        near = np.triu(near, 1)
+    simple = plain[0][:, None] & plain[1][None, :]
+    near &= ~simple | (of_left / np.maximum(total[0][:, None] + total[1][None, :] - of_left, 1) >= threshold - 1e-6)
+    return [(left[i][0], right[j][0]) for i, j in zip(*np.nonzero(near), strict=True) if probability_jaccard(sets[0][i], sets[1][j]) >= threshold - 1e-9]
+
+
+def leftover_links(rows: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Links (a, b) between texts of one group and different classes, all of them."""
+    by_value()
 
-def still_open(held: DataFrame, alone: DataFrame, threshold: float) -> DataFrame:
-    """(band, n, key): members that may yet have a link in their bucket.
+    def meet(table: pa.Table) -> pa.Table:
+        rows = list(zip(*[table.column(c).to_pylist() for c in ("side", "key", "class", "text")], strict=True))
+        left, right = [r[1:] for r in rows if r[0] in "lb"], [r[1:] for r in rows if r[0] in "rb"]
+        found = block_links(left, right, shingle, threshold, rows[0][0] == "b")
+        pairs = [(max(p), min(p)) for p in found]
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
 
-    Let x have ``total`` shingles (counted with weights), ``own`` of them in no other held text.  Every shingle
-    that x shares is among the rest, so J_P(x, y) <= 1 - own / total for any y.  If no text of the bucket repeats
-    a shingle and all have at least ``least`` of them, then with s = max(least, total - own), J(x, y) <=
-    (total - own) / (s + own): y has s shingles or more, and x has ``own`` that y lacks.
-    """
-    known = held.select("band", "n", "key").join(alone, "key")
-    about = settle(known.groupBy("band").agg(F.min("total").alias("least"), F.min("flat").alias("all_flat")), "about")
-    shared = F.col("total") - F.col("own")
-    size = F.greatest("least", shared)
-    bound = F.when(F.col("all_flat"), shared / (size + F.col("own"))).otherwise(shared / F.col("total"))
-    return known.join(about, "band").where(bound >= threshold - 1e-9).select("band", "n", "key")
+    return leftover_blocks(rows).groupBy("group", "kind", "i", "j").applyInArrow(meet, "a binary, b binary")
 
 
 def near_duplicates(
@@ -246,30 +296,14 @@ def near_duplicates(
     company = settle(members.groupBy("key").agg(F.sum("n").alias("company")), "company")
     rank = F.when(F.col("band") % 2 == 0, F.col("company")).otherwise(F.xxhash64("key", "band"))
     led = settle(members.join(company, "key").groupBy("band").agg(F.max_by("key", F.struct(rank, F.xxhash64("key", "band"))).alias("leader")), "leaders")
-    tested = settle(_pairs(members.join(led, "band")), "pairs")
-    links = settle(verified(tested, texts, shingle, threshold), "links")
+    pairs = settle(_pairs(members.join(led, "band")), "pairs")
+    links = settle(verified(pairs, texts, shingle, threshold), "links")
     classes = components(links)
-    share = 1
-    while True:
-        held = unresolved(members, classes)
-        if share == 1:  # most of what is left cannot have any link
-            alone = settle(bounds(held, texts, shingle), "bounds")
-            members = settle(still_open(held, alone, threshold), "members")
-            held = unresolved(members, classes)
-        held = settle(held, "open")
-        if held.isEmpty():
-            break
-        share *= LEADERS_MORE
-        pick = F.pmod(F.xxhash64("key", "band", F.lit(share)), F.greatest(F.expr(f"n div {share}"), F.lit(1))) == 0
-        led = settle(held.where(pick).select("band", F.col("key").alias("leader"), F.col("class").alias("leader_class")), "leaders")
-        pairs = _pairs(held.join(led, "band").where("class != leader_class")).join(tested, ["a", "b"], "left_anti")
-        pairs = settle(pairs, "pairs")
-        links = links.unionByName(settle(verified(pairs, texts, shingle, threshold), "links"))
-        tested = tested.unionByName(pairs)
+    held = settle(unresolved(members, classes), "open")
+    more = settle(leftover_links(leftover_groups(held, texts), shingle, threshold), "links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
         classes = components(links)
-        # The round in which every member of an open bucket led was the last.
-        if held.where(F.col("n") > 2 * share - 1).isEmpty():
-            break
     ids = keyed.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     named = ids.join(classes, F.col("key") == F.col("a"), "left").select("key", F.coalesce("b", "key").alias("class_key"), "id", "n")
     named = settle(named, "named")
