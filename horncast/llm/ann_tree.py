@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import by_value, settle
 
 FIT_ROWS, BRANCHES = 20_000, 8
-LEAF_ROWS, MAX_LEAVES = 1000, 2048
+LEAF_ROWS, MAX_LEAVES = 4000, 2048
 BLOCK_ROWS = 4096
 CALIBRATION, TARGET_RECALL = 128, 0.96
 
