@@ -69,7 +69,7 @@ class Model:
 
     def roots(self, name: str, args: tuple[int, ...]) -> tuple[int, ...]:
         r = self.relation(name)
-        if len(args) > r.width:
+        if r.width and len(args) > r.width:
             raise ValueError(f"{name} takes {r.width} elements")
         return tuple(self.root(t, a) for t, a in zip(r.columns, args, strict=False))
 
@@ -142,8 +142,8 @@ class Model:
         store, frames = self.store, []
         if self.pending:
             width = store.width
-            rows = [(name, *self.roots(name, t), *[0] * (width - len(t))) for name, ts in self.pending.items() for t in ts]
-            rows = [r if len(r) == width + 1 else (*r, *[0] * (width + 1 - len(r))) for r in rows]
+            rooted = [(name, *self.roots(name, t)) for name, ts in self.pending.items() for t in ts]
+            rows = [(*r, *[0] * (width + 1 - len(r))) for r in rooted]
             frames.append(self.spark.createDataFrame(rows, ", ".join(["rel string", *[f"c{i} bigint" for i in range(width)]])))
         for name, df in self.frames:
             frames.append(store.wide(name, df, store.columns(name) if self.relation(name).width else [], 0).drop("gen"))

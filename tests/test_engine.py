@@ -1,0 +1,456 @@
+"""Theories of classical structures, closed on Spark; expected outcomes up to renaming of elements."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from horncast import LimitExceeded, MorphismCycleError, Theory
+from horncast.functions.sugar import axiom, poset, reduction
+from horncast.operators import components
+from horncast.sources.binding import bind, decode, encode
+
+GRAPH = "type V; pred edge(V, V);\nrule { if x: V; then edge(x, x); }\nrule { if edge(x, y); if edge(y, z); then edge(x, z); }"
+MONOID_LAWS = """
+type M; func e() -> M; func mul(M, M) -> M;
+rule { if x: M; if u = e(); then mul(u, x) = x; then mul(x, u) = x; }
+rule { if a = mul(x, mul(y, z)); if b = mul(mul(x, y), z); then a = b; }
+rule { if x_y = mul(x, y); if right = mul(x, mul(y, z)); then mul(x_y, z) = right; }
+"""
+MONOID = MONOID_LAWS + "rule { then e()!; }\nrule { if x: M; if y: M; then mul(x, y)!; }"
+
+
+@pytest.fixture
+def model(spark):
+    made = []
+
+    def make(source, **options):
+        made.append(Theory(source).model(spark, **options))
+        return made[-1]
+
+    yield make
+    for m in made:
+        m.drop()
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_empty_theory_and_empty_models(model):
+    model("").close()
+    m = model(GRAPH).close()
+    assert rows(m.table("edge")) == []
+
+
+@pytest.mark.parametrize("edges, expected", [([], 2), ([(0, 1)], 3), ([(0, 1), (1, 0)], 4)])
+def test_graph_closure(model, edges, expected):
+    m = model(GRAPH)
+    v = [m.new("V") for _ in range(2)]
+    for a, b in edges:
+        m.insert("edge", v[a], v[b])
+    m.close()
+    assert m.table("edge").count() == expected and m.elements("V").count() == 2
+
+
+def test_semi_naive_is_naive_and_batches_do_not_matter(model, spark):
+    pairs = [(i, (i * 7 + 3) % 23) for i in range(23)]
+    want, new = set(pairs), set(pairs)
+    while new:
+        new = {(a, d) for a, b in want for c, d in want if b == c} - want
+        want |= new
+    m = model(GRAPH)
+    for part in (pairs[::2], pairs[1::2]):
+        m.load("edge", spark.createDataFrame(part, "a long, b long").repartition(3))
+        m.close()
+    assert set(rows(m.table("edge"))) == want
+    rounds = m.engine.rounds
+    m.close()
+    assert set(rows(m.table("edge"))) == want and m.engine.rounds == rounds + 1
+
+
+def test_nullary_predicates(model):
+    source = "pred absurd(); pred truth(); pred maybe();\nrule { then truth(); }\nrule { if absurd(); then maybe(); }"
+    m = model(source).close()
+    assert m.holds("truth") and not m.holds("maybe")
+    m.insert("absurd")
+    m.close()
+    assert m.holds("maybe")
+
+
+def test_poset_collapses_a_loop(model):
+    m = model("type P;" + poset("P", "le"))
+    chains = [[m.new("P") for _ in range(n)] for n in (1, 7, 5)]
+    for c in chains:
+        for a, b in zip(c, c[1:], strict=False):
+            m.insert("le", a, b)
+    m.insert("le", chains[0][0], chains[2][0])
+    m.insert("le", chains[2][-1], chains[0][0])
+    m.close()
+    assert m.elements("P").count() == 8
+    assert m.table("le").count() == 1 + 7 * 8 // 2
+    assert m.root("P", chains[2][3]) == chains[0][0]  # the least id
+
+
+def test_semilattice_on_three_generators(model):
+    m = model("type El; func meet(El, El) -> El;" + poset("El", "le") + """
+        rule { if x: El; if y: El; then meet(x, y)!; }
+        rule { if m = meet(x, y); then le(m, x); then le(m, y); }
+        rule { if le(z, x); if le(z, y); if m = meet(x, y); then le(z, m); }""")
+    x, y, z = (m.new("El") for _ in range(3))
+    m.close()
+    assert (m.elements("El").count(), m.table("meet").count(), m.table("le").count()) == (7, 49, 19)
+    assert m.eval("meet", x, m.eval("meet", y, z)) == m.eval("meet", m.eval("meet", x, y), z)
+
+
+def test_constants_merge(model):
+    m = model("type P; func pt() -> P;\nrule { then pt()!; }")
+    a, b, other = (m.new("P") for _ in range(3))
+    m.insert("pt", a)
+    m.insert("pt", b)
+    m.close()
+    assert m.are_equal("P", a, b) and not m.are_equal("P", a, other)
+    assert m.elements("P").count() == 2 and m.table("pt").count() == 1
+
+
+def test_evaluation_is_modulo_equality_after_close(model):
+    m = model("type El; func mul(El, El) -> El;")
+    a, b = m.new("El"), m.new("El")
+    assert m.eval("mul", a, b) is None
+    c = m.define("mul", a, b)
+    assert m.define("mul", a, b) == c
+    m.equate("El", a, b)
+    assert m.eval("mul", a, b) in (None, c)
+    m.close()
+    assert {m.eval("mul", x, y) for x in (a, b) for y in (a, b)} == {m.root("El", c)}
+    d = m.new("El")
+    m.equate("El", c, d)
+    m.close()
+    assert m.root("El", c) == m.root("El", d) == m.eval("mul", b, b)
+
+
+def test_congruence_cascades(model):
+    m = model("type A; func f(A) -> A; func g(A) -> A;")
+    a, b = m.new("A"), m.new("A")
+    ends = [m.define("g", m.define("f", m.define("f", x))) for x in (a, b)]
+    m.equate("A", a, b)
+    m.close()
+    assert m.are_equal("A", *ends) and m.elements("A").count() == 4
+
+
+def test_monoid_z5(model):
+    m = model(MONOID)
+    a = [m.new("M")]
+    for _ in range(2):
+        a.append(m.define("mul", a[-1], a[-1]))  # a, a2, a4
+    m.insert("mul", a[2], a[0], m.define("e"))
+    m.close(max_rounds=60)
+    assert (m.elements("M").count(), m.table("e").count(), m.table("mul").count()) == (5, 1, 25)
+
+
+def test_partial_monoid_stays_partial(model):
+    m = model(MONOID_LAWS)
+    a, b, c = (m.new("M") for _ in range(3))
+    ab = m.define("mul", a, b)
+    bc = m.define("mul", b, c)
+    whole = m.define("mul", a, bc)
+    m.close()
+    assert m.eval("mul", ab, c) == whole and m.table("e").count() == 0 and m.eval("mul", b, a) is None
+
+
+def test_idempotent_is_trivial(model):
+    m = model("type M; func e() -> M; func mul(M, M) -> M;\nrule { if mul(a, a) = a; if u = e(); then a = u; }")
+    e, x = m.define("e"), m.new("M")
+    m.insert("mul", x, x, x)
+    m.close()
+    assert m.are_equal("M", e, x) and m.elements("M").count() == 1
+
+
+def test_diagonal_of_three(model):
+    m = model("type P; pred p(P, P, P); pred same(P);\nrule { if p(x, x, x); then same(x); }")
+    a, b = m.new("P"), m.new("P")
+    for t in ((a, a, b), (a, b, a), (b, a, a), (b, b, b)):
+        m.insert("p", *t)
+    m.close()
+    assert rows(m.table("same")) == [(b,)]
+    m.equate("P", a, b)  # a merge makes more of them diagonal, and they become one
+    m.close()
+    assert rows(m.table("p")) == [(a, a, a)] and rows(m.table("same")) == [(a,)]
+
+
+BRANCHES = """
+pred a(); pred b(); pred b_0(); pred c(); pred c_0(); pred d(); pred d_0();
+rule { if a(); branch { if b(); then b_0(); } along { if c(); then c_0(); } if d(); then d_0(); }
+type Foo; pred bar(Foo); pred baz(Foo);
+rule { branch { if bar(x); then x = x; } if x: Foo; then baz(x); }
+"""
+
+
+@pytest.mark.parametrize("facts, derived", [("", ""), ("a", ""), ("ab", "b_0"), ("acd", "c_0 d_0"), ("ad", ""), ("abcd", "b_0 c_0 d_0")])
+def test_branches(model, facts, derived):
+    m = model(BRANCHES)
+    for f in facts:
+        m.insert(f)
+    m.close()
+    assert [p for p in ("b_0", "c_0", "d_0") if m.holds(p)] == derived.split()
+
+
+def test_branch_variables_are_local(model):
+    m = model(BRANCHES)
+    a, b = m.new("Foo"), m.new("Foo")
+    m.insert("bar", a)
+    m.close()
+    assert rows(m.table("baz")) == [(a,), (b,)]
+
+
+def test_match_and_enums(model):
+    m = model("""
+        type Pred; type Func; enum Rel { PredRel(Pred), FuncRel(Func) } pred is_pred(Rel); pred is_func(Rel);
+        rule { if r: Rel; match r { PredRel(_) => { then is_pred(r); } FuncRel(_) => { then is_func(r); } } }""")
+    p, f = m.define("PredRel", m.new("Pred")), m.define("FuncRel", m.new("Func"))
+    m.close()
+    assert rows(m.table("is_pred")) == [(p,)] and rows(m.table("is_func")) == [(f,)]
+    with pytest.raises(ValueError):
+        m.new("Rel")
+
+
+def test_match_is_not_exclusive(model):
+    m = model("""
+        enum Z { Zero(), Succ(Z), Prede(Z) } pred zero(Z); pred next(Z);
+        rule { if x = Succ(Prede(y)); then x = y; }
+        rule { if x = Prede(Succ(y)); then x = y; }
+        rule { if x: Z; match x { Zero() => { then zero(x); } Succ(_) => { then next(x); } Prede(_) => {} } }""")
+    zero = m.define("Zero")
+    one = m.define("Succ", zero)
+    back = m.define("Prede", one)
+    m.close()
+    assert m.are_equal("Z", zero, back)
+    assert {c for c, _ in m.cases("Z", zero)} == {"Zero", "Prede"} and m.case("Z", zero)[0] == "Zero"
+    assert m.cases("Z", one) == [("Succ", (zero,))]
+    with pytest.raises(LookupError):
+        m.case("Z", 10**6)
+
+
+def test_enum_terms_by_both_ways_are_equal(model):
+    m = model("enum N { Zero(), Succ(n: N) } func plus(N, N) -> N;\nrule { if a = plus(Zero(), n); then a = n; }")
+    one = m.define("Succ", m.define("Zero"))
+    assert m.define("Succ", m.define("Zero")) == one
+    two = m.define("Succ", one)
+    m.insert("plus", m.define("Zero"), one, two)
+    with pytest.raises(ValueError):
+        m.define("plus", one, one)
+    m.close()
+    assert m.are_equal("N", one, two) and m.eval("plus", m.define("Zero"), one) == one
+
+
+def test_define_binds_and_does_not_repeat(model):
+    m = model("""
+        type A; type B; pred p(A); func f(A) -> B; func top() -> B; pred seen(A, B);
+        rule { if p(x); then y := f(x)!; then seen(x, y); then top()!; }""")
+    a, b, c = (m.new("A") for _ in range(3))
+    m.insert("p", a)
+    m.insert("p", b)
+    kept = m.define("f", a)
+    m.close()
+    assert m.eval("f", a) == kept and m.eval("f", c) is None
+    assert rows(m.table("seen")) == [(a, kept), (b, m.eval("f", b))] and m.elements("B").count() == 3
+
+
+GROUP = MONOID + "func inv(M) -> M;\nrule { if x: M; then inv(x)!; }\nrule { if i = inv(x); if p = mul(i, x); if u = e(); then p = u; then mul(x, i) = u; }"
+
+
+def test_close_until_leaves_a_theory_that_never_ends(model):
+    m = model(GROUP)
+    x = m.new("M")
+    assert m.close_until(lambda n: n.eval("inv", x) is not None and n.eval("e") is not None and n.eval("mul", n.eval("inv", x), x) == n.eval("e"))
+
+
+def test_limits(model):
+    m = model("type A; func f(A) -> A;\nrule { if x: A; then f(x)!; }")
+    m.new("A")
+    with pytest.raises(LimitExceeded):
+        m.close(max_rounds=4)
+
+
+def test_close_until_is_asked_before_anything(model):
+    m = model(GRAPH)
+    m.new("V")
+    assert m.close_until(lambda n: True) and m.table("edge").count() == 0
+    assert m.close_until(lambda n: False) is False
+
+
+def test_queries_over_premises(model):
+    m = model(GRAPH + "\nfunc twin(V) -> V;")
+    a, b, c = (m.new("V") for _ in range(3))
+    m.insert("edge", a, b)
+    m.insert("edge", b, c)
+    m.insert("twin", a, c)
+    m.close()
+    assert rows(m.query("if edge(x, y); if y = twin(x);", ["x", "y"])) == [(a, c)]
+    assert len(rows(m.query("if x: V;", ["x"]))) == 3
+    with pytest.raises(KeyError):
+        m.query("if x: V;", ["nope"])
+
+
+# Models and morphisms ------------------------------------------------------------------------------
+SETS = """
+model Set { type S; pred small();
+  rule { if small(); if x: S; if y: S; then x = y; } }
+pred small_set(Set);
+rule { if a: Set; if b: Set; if x: a.S; if y: a.S; if small_set(a); if a = b; then x = y; }
+"""
+
+
+def test_members_follow_merged_models(model):
+    m = model(SETS)
+    s, t = m.new("Set"), m.new("Set")
+    a, b = m.new("S", s), m.new("S", t)
+    assert m.holds("set_member_s", s, a)
+    m.insert("small", s)
+    m.close()
+    assert not m.are_equal("S", a, b)
+    m.equate("Set", s, t)
+    m.close()
+    assert m.are_equal("S", a, b) and m.elements("S").count() == 1 and m.table("set_member_s").count() == 1
+
+
+def test_outside_rules_see_members(model):
+    m = model(SETS)
+    s = m.new("Set")
+    a, b = m.new("S", s), m.new("S", s)
+    m.insert("small_set", s)
+    m.close()
+    assert m.are_equal("S", a, b)
+
+
+def test_member_constants_are_made_in_each_model(model):
+    m = model("model Pointed { type P; func pt() -> P; rule { then pt()!; } }")
+    a, b = m.new("Pointed"), m.new("Pointed")
+    m.close()
+    assert m.elements("P").count() == 2 and m.table("pointed_member_p").count() == 2
+    m.equate("Pointed", a, b)
+    m.close()
+    assert m.elements("P").count() == 1
+
+
+SUBSETS = "type C; model Subs { pred element(C); }"
+
+
+def arrow(m, name, f, a, b):
+    m.insert(f"{name}_mor_dom", f, a)
+    m.insert(f"{name}_mor_cod", f, b)
+
+
+def test_inheritance_flows_along_arrows_only(model):
+    m = model(SUBSETS + " pred both(C); func big() -> Subs; rule { if big().element(x); then both(x); }")
+    a, b, c, d = (m.new("Subs") for _ in range(4))
+    x, y = m.new("C"), m.new("C")
+    arrow(m, "subs", m.new("SubsMor"), a, b)
+    m.insert("big", c)
+    m.insert("element", a, x)
+    m.insert("element", b, y)
+    m.close()
+    assert rows(m.table("element")) == sorted([(a, x), (b, x), (b, y)]) and rows(m.own("element")) == sorted([(a, x), (b, y)])
+    arrow(m, "subs", m.new("SubsMor"), b, c)  # an arrow that comes after its facts are old
+    m.close()
+    assert {t for t in rows(m.table("element")) if t[0] == c} == {(c, x), (c, y)} and not m.holds("element", d, x)
+    assert len(rows(m.table("both"))) == 2
+
+
+def test_arrow_without_an_end_is_ignored(model):
+    m = model(SUBSETS)
+    a, f, x = m.new("Subs"), m.new("SubsMor"), m.new("C")
+    m.insert("subs_mor_dom", f, a)
+    m.insert("element", a, x)
+    m.close()
+    assert rows(m.table("element")) == [(a, x)] and m.eval("subs_mor_cod", f) is None
+
+
+def test_cycles_of_arrows(model):
+    for allowed in (False, True):
+        m = model(SUBSETS, allow_cycles=allowed)
+        a, b, x = m.new("Subs"), m.new("Subs"), m.new("C")
+        arrow(m, "subs", m.new("SubsMor"), a, b)
+        arrow(m, "subs", m.new("SubsMor"), b, a)
+        m.insert("element", a, x)
+        if allowed:
+            m.close()
+            assert m.table("element").count() == 2
+        else:
+            with pytest.raises(MorphismCycleError):
+                m.close()
+    m = model(SUBSETS)
+    a = m.new("Subs")
+    arrow(m, "subs", m.new("SubsMor"), a, a)
+    with pytest.raises(MorphismCycleError):
+        m.close()
+
+
+def test_images_of_members(model):
+    m = model("""
+        model Magma { type El; func mul(El, El) -> El; }
+        rule { if g: Magma; if x: g.El; if dom(f) = g; if cod(f)!; then f@(x)!; }""")
+    g, h = m.new("Magma"), m.new("Magma")
+    f, x = m.new("MagmaMor"), m.new("El", g)
+    arrow(m, "magma", f, g, h)
+    xx = m.define("mul", g, x, x)
+    m.close()
+    fx, fxx = m.eval("el_mor_app", f, x), m.eval("el_mor_app", f, xx)
+    assert m.eval("mul", h, fx, fx) == fxx  # the product of images is the image of the product
+    assert m.table("magma_member_el").count() == 4 and m.holds("magma_member_el", h, fxx)
+
+
+def test_constants_of_models(model):
+    m = model(SUBSETS + """
+        func a() -> Subs; func b() -> Subs; func f() -> Mor(Subs); pred in_both(C);
+        rule { if x = a(); if g = f(); then dom(g) = x; }
+        rule { if x = b(); if g = f(); then cod(g) = x; }
+        rule { if a().element(x); if b().element(x); then in_both(x); }""")
+    a, f, x = m.define("a"), m.define("f"), m.new("C")
+    m.insert("element", a, x)
+    m.close()
+    assert m.eval("subs_mor_dom", f) == a and m.eval("subs_mor_cod", f) is None and rows(m.table("in_both")) == []
+    m.define("b")
+    m.close()
+    assert rows(m.table("in_both")) == [(x,)]
+
+
+# Pieces --------------------------------------------------------------------------------------------
+def test_many_edges_are_merged_by_stars(spark, monkeypatch):
+    pairs = [("t", i, i + 1) for i in range(0, 40) if i % 10 != 9] + [("t", 100, 200), ("t", 150, 200), ("u", 1, 2), ("u", 5, 5)]
+    edges = spark.createDataFrame(pairs, "tag string, a long, b long")
+    few = rows(components.roots(edges))
+    monkeypatch.setattr(components, "DRIVER_EDGES", 3)
+    assert rows(components.roots(edges)) == few and ("t", 39, 30) in few and ("t", 200, 100) in few and ("u", 2, 1) in few
+
+
+def test_bindings(model, spark):
+    m = model("type N; pred next(N, N); pred reach(N, N);\nrule { if next(x, y); then reach(x, y); }\nrule { if reach(x, y); if reach(y, z); then reach(x, z); }")
+    df = spark.createDataFrame([("a", "b"), ("b", "c"), (None, "c")], "x string, y string")
+    names = bind(m, "N", df.select("x").union(df.select("y")).where("x is not null"), "x")
+    m.load("next", encode(encode(df, names, ["x"], "i"), names, ["y"], "j"), "i", "j")
+    m.close()
+    out = decode(m, decode(m, m.table("reach"), "c0", "N"), "c1", "N")
+    assert rows(out) == [("a", "b"), ("a", "c"), ("b", "c")]
+    more = bind(m, "N", spark.createDataFrame([("z",)], "k string"), "k")
+    assert more.first()["el"] == 3
+
+
+def test_sugar(model):
+    m = model("type M; func f(M) -> M; func g(M) -> M; pred p(M);\n" + reduction("f", ["x"], "g(x)", both=True) + "\n" + axiom("p(x)", "x = g(x)"))
+    a, b, c = (m.new("M") for _ in range(3))
+    m.insert("g", a, a)
+    m.insert("f", b, c)
+    m.close()
+    assert m.eval("f", a) == a and m.eval("g", b) == c and rows(m.table("p")) == [(a,)]
+
+
+def test_merges_do_not_depend_on_order(model, spark):
+    results = []
+    for parts in (1, 3):
+        m = model("type A; func f(A) -> A;")
+        pairs = spark.createDataFrame([(i % 6, i) for i in range(6, 30)], "x long, y long").repartition(parts)
+        m.load("f", pairs)
+        m.load("A", spark.range(30).select(F.col("id").alias("a")))
+        m.engine.next_id["A"] = 30
+        m.close()
+        results.append((rows(m.table("f")), rows(m.elements("A"))))
+    assert results[0] == results[1]
