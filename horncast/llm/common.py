@@ -73,21 +73,29 @@ def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def ranked(df: DataFrame, group: list[str], bucket: str, order: list[Column], value: str, offset: str, rank: str | None = None) -> DataFrame:
+def group_key(column: Column) -> Column:
+    """A string that is never null and tells null from every value: plain equality keeps a shuffle's partitioning."""
+    return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit("null"))
+
+
+def ranked(
+    df: DataFrame, group: list[str], bucket: str, order: list[Column], value: str, offset: str, rank: str | None = None, totals_of: DataFrame | None = None
+) -> DataFrame:
     """Adds ``offset``: the sum of ``value`` over the rows before this one in its group, in the order (bucket, order).
 
     ``bucket`` must be an integer column that is monotone in the wanted order and spreads a group's rows
     evenly, so that no task ever holds a whole group: per-bucket totals are aggregated first (map-side
     combine), their prefix sums are joined back on the same key the inner window is partitioned by.
-    ``rank`` (if named) likewise becomes the 1-based row number in the group.
+    ``rank`` (if named) likewise becomes the 1-based row number in the group.  Group columns are not null.
+    ``totals_of`` has the same groups, buckets and values where ``df`` is costly to evaluate twice.
     """
     key = [*group, bucket]
     counted = rank is not None
-    totals = df.groupBy(*key).agg(F.sum(value).alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    totals = (df if totals_of is None else totals_of).groupBy(*key).agg(F.sum(value).alias("_sum"), F.count(F.lit(1)).alias("_n"))
     over = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     before = over.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     heads = totals.select(
-        *[F.col(c).alias(f"_rk{i}") for i, c in enumerate(key)],
+        *key,
         F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_rk_before"),
         *([F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rk_ahead")] if counted else []),
     )
@@ -95,8 +103,7 @@ def ranked(df: DataFrame, group: list[str], bucket: str, order: list[Column], va
     rows = df.withColumn("_rk_own", F.sum(value).over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col(value))
     if counted:
         rows = rows.withColumn("_rk_at", F.row_number().over(inner))
-    joined = rows.join(heads, [F.col(c).eqNullSafe(F.col(f"_rk{i}")) for i, c in enumerate(key)])
-    out = joined.withColumn(offset, (F.col("_rk_before") + F.col("_rk_own")).cast("long"))
+    out = rows.join(heads, key).withColumn(offset, (F.col("_rk_before") + F.col("_rk_own")).cast("long"))
     if counted:
         out = out.withColumn(rank, (F.col("_rk_ahead") + F.col("_rk_at")).cast("long"))
-    return out.drop("_rk_own", "_rk_at", "_rk_before", "_rk_ahead", *[f"_rk{i}" for i in range(len(key))])
+    return out.drop("_rk_own", "_rk_at", "_rk_before", "_rk_ahead")

@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import RANK_BLOCK_ROWS, ranked, settle
+from .common import RANK_BLOCK_ROWS, group_key, ranked, settle
 
 NEW = ("source_size", "target", "taken", "copies")
 
@@ -99,10 +99,14 @@ def mix_sources(
     seed: int = 17,
 ) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target`` (both of the row's source), ``taken`` and ``copies``."""
-    keep = [c for c in docs.columns if c not in (*NEW, "size", "_mix_source", "_mix_bucket", "_mix_hash")]
-    rows = docs.select(*keep, size.cast("long").alias("size"), docs[source].alias("_mix_source"), F.xxhash64(docs[id_column], F.lit(seed)).alias("_mix_hash"))
-    rows = settle(rows, "sized")  # texts are split into words once
-    per = rows.groupBy("_mix_source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")).withColumnRenamed("_mix_source", "source")
+    keep = [c for c in docs.columns if c not in (*NEW, "size", "_mix_source", "_mix_key", "_mix_bucket", "_mix_hash")]
+    rows = docs.select(
+        *keep, size.cast("long").alias("size"), docs[source].alias("_mix_source"), group_key(docs[source]).alias("_mix_key"),
+        F.xxhash64(docs[id_column], F.lit(seed)).alias("_mix_hash"),
+    )
+    # All statistics come from a narrow table, so that sizes are not taken from the texts each time.
+    narrow = settle(rows.select("size", "_mix_source", "_mix_key", "_mix_hash"), "sized")
+    per = narrow.groupBy("_mix_source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")).withColumnRenamed("_mix_source", "source")
     sources = source_targets(per, weights, max_repeats)
     facts = sources.agg(F.sum("source_size").alias("total"), F.max("n").alias("n")).first()
     total, most = facts["total"] or 0, facts["n"] or 0
@@ -114,17 +118,17 @@ def mix_sources(
     tokens = F.least(F.round(F.col("blocks") * F.lit(block)).cast("long"), F.col("source_size") * max_repeats)
     start = F.pmod(F.xxhash64(F.coalesce("source", F.lit("")), F.lit(seed + 1)), F.greatest(F.col("source_size"), F.lit(1)))
     plan = plan.select(
-        F.col("source").alias("_plan_source"), "source_size", "target",
+        group_key(F.col("source")).alias("_mix_key"), "source_size", "target",
         F.when(F.col("source_size") > 0, F.floor(tokens / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long").alias("_passes"),
         F.when(F.col("source_size") > 0, F.pmod(tokens, F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long").alias("_run"),
         start.alias("_start"),
     )
     plan = settle(plan, "plan")
     buckets = max(1, -(-most // RANK_BLOCK_ROWS))
-    rows = rows.withColumn("_mix_bucket", F.expr(f"cast(((_mix_hash >> 32) + 2147483648) * {buckets} >> 32 as int)"))
+    bucket = F.expr(f"cast(((_mix_hash >> 32) + 2147483648) * {buckets} >> 32 as int)")
     order = [F.col("_mix_hash"), F.col(id_column), F.col("size")]
-    placed = ranked(rows, ["_mix_source"], "_mix_bucket", order, "size", "_at")
-    placed = placed.join(plan, F.col("_mix_source").eqNullSafe(F.col("_plan_source")))
+    dealt, counted = rows.withColumn("_mix_bucket", bucket), narrow.withColumn("_mix_bucket", bucket)
+    placed = ranked(dealt, ["_mix_key"], "_mix_bucket", order, "size", "_at", totals_of=counted).join(plan, "_mix_key")
     # Overlap of [at, at + size) with the run and with the run one turn back (the line is a ring).
     lap = lambda a, b: F.greatest(F.lit(0).cast("long"), F.least(F.col("_at") + F.col("size"), b) - F.greatest(F.col("_at"), a))
     s, e, turn = F.col("_start"), F.col("_start") + F.col("_run"), F.col("source_size")

@@ -287,7 +287,7 @@ def near_duplicates(
     # Tables of one row per key are written before they are joined, so that Spark can split a hot key's rows.
     shared = settle(spread.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     members = settle(spread.join(shared, "band"), "buckets")
-    drop_scratch(signed)
+    drop_scratch(signed, shared)
     # Only texts that are candidates are ever moved; each once.
     wanted = members.select("key").distinct()
     texts = settle(keyed.select("key", "text").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "texts")
@@ -300,7 +300,9 @@ def near_duplicates(
     links = settle(verified(pairs, texts, shingle, threshold), "links")
     classes = components(links)
     held = settle(unresolved(members, classes), "open")
-    more = settle(leftover_links(leftover_groups(held, texts), shingle, threshold), "links")
+    leftover = leftover_groups(held, texts)
+    more = settle(leftover_links(leftover, shingle, threshold), "links")
+    drop_scratch(members, company, led, pairs, held, leftover, texts)
     if not more.isEmpty():
         links = links.unionByName(more)
         classes = components(links)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RANK_BLOCK_ROWS, ranked, settle, text_bytes
+from .common import RANK_BLOCK_ROWS, group_key, ranked, settle, text_bytes
 
 NEW = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
@@ -32,19 +32,19 @@ def shard_interleaved(
         *[docs[c] for c in keep],
         (text_bytes(docs[text]) + 1).alias("size"),
         F.coalesce(F.crc32(docs[text]), F.lit(0)).cast("long").alias("text_crc32"),
-        docs[source].alias("_stratum"),
+        group_key(docs[source]).alias("_stratum"),
         docs[id_column].alias("_id"),
         F.xxhash64(docs[id_column], F.lit(seed)).alias("_hash"),
         F.lit(1).cast("long").alias("_one"),
     )
-    strata = settle(rows.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_rows")).withColumnRenamed("_stratum", "_name"), "strata")
+    strata = settle(rows.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_rows")), "strata")
     facts = strata.agg(F.sum("_rows").alias("total"), F.max("_rows").alias("most")).first()
     total, most = facts["total"] or 0, facts["most"] or 0
     buckets = max(1, -(-most // RANK_BLOCK_ROWS))
     rows = rows.withColumn("_bucket", F.expr(f"cast(((_hash >> 32) + 2147483648) * {buckets} >> 32 as int)"))
     order = [F.col("_hash"), F.col("_id"), F.col("text_crc32"), F.col("size")]
     rows = ranked(rows, ["_stratum"], "_bucket", order, "_one", "_ahead_of")
-    rows = rows.join(strata, F.col("_stratum").eqNullSafe(F.col("_name")))
+    rows = rows.join(strata, "_stratum")
     spans = max(1, -(-total // RANK_BLOCK_ROWS))
     rows = rows.withColumn("_fraction", (F.col("_ahead_of") + 0.5) / F.col("_rows"))
     rows = rows.withColumn("_span", F.least(F.floor(F.col("_fraction") * spans), F.lit(spans - 1)).cast("int"))
