@@ -41,7 +41,14 @@ def _table(kind: str) -> np.ndarray:
     return inside
 
 
-_POWERS: dict[int, np.ndarray] = {}
+class _Cache(dict):
+    """Starts empty wherever it is sent: what it holds is cheaper to compute than to ship with every task."""
+
+    def __reduce__(self):
+        return _Cache, ()
+
+
+_POWERS: dict[int, np.ndarray] = _Cache()
 
 
 def _inverse_powers(n: int) -> np.ndarray:
