@@ -12,11 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .lang.errors import Span, TheoryError
+from .lang.errors import TheoryError
+from .lang.parser import parse
 from .operators import components, premise
-from .operators.engine import EQ, Engine
+from .operators.engine import Engine
 from .operators.store import Store
-from .plans.compiler import Compiler, RuleError, Walk, compile_theory
+from .plans.compiler import Compiler, Facts, RuleError, Walk, compile_theory
 from .plans.ir import Compiled, Relation, member_relation
 
 
@@ -37,6 +38,19 @@ def load_theory(path: str) -> Theory:
         return Theory(f.read(), os.path.splitext(os.path.basename(path))[0])
 
 
+def load_theories(folder: str, suffix: str = ".eql") -> dict[str, Theory]:
+    """All theories of a folder and the folders in it, by file name; texts that did not change are not compiled again."""
+    found: dict[str, Theory] = {}
+    for where, _, files in sorted(os.walk(folder, followlinks=True)):
+        for f in sorted(files):
+            if f.endswith(suffix):
+                theory = load_theory(os.path.join(where, f))
+                if theory.name in found:
+                    raise ValueError(f"two theories are called {theory.name!r}")
+                found[theory.name] = theory
+    return found
+
+
 class Model:
     def __init__(self, spark: SparkSession, theory: Theory, *, allow_cycles: bool = False):
         self.spark, self.theory, self.compiled = spark, theory, theory.compiled
@@ -257,13 +271,13 @@ class Model:
         """Bindings of ``variables`` for all matches of premises (``if`` statements), as a DataFrame."""
         source = f"{self.theory.source}\nrule query_ {{\n{text}\n}}\n"
         c = Compiler(source, self.theory.name)
-        decls = _parsed(c)
+        decls = parse(c.source, c.name)
         c.declare(decls, c.top, None)
         c.sign(decls, c.top, None)
         c.arrows()
         walk = Walk(c, None, decls[-1], "query_")
         try:
-            paths = walk.block(decls[-1].body, [(_facts(), {})])
+            paths = walk.block(decls[-1].body, [(Facts(), {})])
         except RuleError:
             paths = []
         if c.problems:
@@ -299,16 +313,4 @@ class Model:
         self.store.drop()
 
 
-def _parsed(c: Compiler):
-    from .lang.parser import parse
-
-    return parse(c.source, c.name)
-
-
-def _facts():
-    from .plans.compiler import Facts
-
-    return Facts()
-
-
-__all__ = ["EQ", "Model", "Span", "Theory", "load_theory"]
+__all__ = ["Model", "Theory", "load_theories", "load_theory"]
