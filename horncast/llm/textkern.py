@@ -1,7 +1,7 @@
 """Vectorised text kernels over Arrow string columns: word spans, word hashes, shingle hashes.
 
-A column is worked through in slices of about ``SLICE_BYTES`` of text (one row at least), so that memory
-does not depend on the batch.  Hashes are polynomials modulo 2**64 over random byte values, taken from one
+A column is worked through in slices of about ``SLICE_BYTES`` of text and at most ``SLICE_ROWS`` rows (one
+row at least), so that memory does not depend on the batch.  Hashes are polynomials modulo 2**64 over random byte values, taken from one
 running sum, so that no word is ever made into a Python object.
 """
 
@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES, SLICE_ROWS = 1 << 21, 4096
 U = np.uint64
 #: Multiplier of the word polynomial (odd, so that it has an inverse) and of the shingle polynomial.
 WORD_MUL, SHINGLE_MUL = U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03)
@@ -79,7 +79,7 @@ def slices(column: pa.Array, max_bytes: int = SLICE_BYTES):
     row = 0
     while row < n:
         end = int(np.searchsorted(offsets, offsets[row] + max_bytes, side="right")) - 1
-        end = min(n, max(end, row + 1))
+        end = min(n, max(end, row + 1), row + SLICE_ROWS)
         yield row, bytes_[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
 
