@@ -22,6 +22,8 @@ from ..plans.ir import FlatRule, apply_relation, member_relation
 from . import components, premise
 from .store import Store
 
+#: Bytes of files: more is much to move for an anti join; less (compressed) is few enough to broadcast.
+MUCH_BYTES, FEW_BYTES = 256 << 20, 4 << 20
 EQ = "="  # tag of equalities, before the type's name
 
 
@@ -126,10 +128,28 @@ class Engine:
         targets = sorted({r.insert.relation for r in self.plain if r.insert and self.store.runs[r.insert.relation]})
         if targets:
             known = self.merged([self.store.wide(t, self.store.table(t), self.store.columns(t), 0).drop("gen") for t in targets])
-            rows = rows.join(known, ["rel", *cols], "left_anti")
+            rows = self.unknown(rows, known, self.store.bytes([p for t in targets for p in self.store.runs[t]]))
         parts = self.store.write(rows.withColumn("gen", F.lit(self.gen + 1).cast("long")))
         return {k: v for k, v in parts.items() if not k.startswith(EQ)}, {k[1:]: v for k, v in parts.items() if k.startswith(EQ)}
 
+    def unknown(self, rows: DataFrame, known: DataFrame, known_bytes: int) -> DataFrame:
+        """Rows that are not known yet.
+
+        An anti join moves all that is known.  Where that is much, the conclusions are written first; if they
+        are few, they are broadcast to find those that are known, and only these are taken away.
+        """
+        keys = ["rel", *[f"c{i}" for i in range(self.store.width)]]
+        if known_bytes < MUCH_BYTES:
+            return rows.join(known, keys, "left_anti")
+        self.store.writes += 1
+        path = f"{self.store.root}/write-{self.store.writes:05d}"
+        rows.write.parquet(path)
+        self.store.live.add(path.rsplit("/", 1)[1])
+        rows = self.spark.read.schema(rows.schema).parquet(path)
+        if self.store.bytes([path]) > FEW_BYTES:
+            return rows.join(known, keys, "left_anti")
+        return rows.join(known.join(F.broadcast(rows), keys, "left_semi"), keys, "left_anti")
+
     def take(self, tuples: dict[str, str], equal: dict[str, str]) -> None:
         """Steps (b) to (f) of a round: what was new is old; merge, rewrite, insert."""
         self.seen, before = self.gen, self.gen
@@ -145,7 +165,7 @@ class Engine:
         changed = components.roots(edges) if edges is not None else None
         if changed is None:
             for name, path in tuples.items():
-                self.store.runs[name].append(path)
+                self.store.add(name, path, self.gen, self.gen)
             self.note(set(tuples))
             return
         types = {r["tag"] for r in changed.select("tag").distinct().collect()}
@@ -160,7 +180,7 @@ class Engine:
         moved = self.rewrite(touched, tuples, changed, types)
         for name, folder in tuples.items():
             if name not in touched:
-                self.store.runs[name].append(folder)
+                self.store.add(name, folder, self.gen, self.gen)
         self.note(moved | (set(tuples) - set(touched)))
 
     def rewrite(self, touched: list[str], tuples: dict[str, str], changed: DataFrame, types: set[str]) -> set[str]:
@@ -190,7 +210,11 @@ class Engine:
         new = self.store.parts(f"{path}/fresh=true")
         old = self.store.parts(f"{path}/fresh=false")
         for name in touched:
-            self.store.runs[name] = [p for p in (old.get(name), new.get(name)) if p]
+            self.store.runs[name] = []
+            if name in old:
+                self.store.add(name, old[name], 0, self.gen - 1)
+            if name in new:
+                self.store.add(name, new[name], self.gen, self.gen)
         return set(new)
 
     def note(self, names: set[str]) -> None:
@@ -305,6 +329,7 @@ class Engine:
                 if not self.define_round():
                     self.store.collect_garbage()
                     return False
+            self.store.live.clear()
             if self.rounds % 8 == 0:
                 self.compact()
 
@@ -315,7 +340,8 @@ class Engine:
             frames = [self.store.wide(n, self.store.table(n), self.store.columns(n), F.col("gen")) for n in many]
             parts = self.store.write(self.merged(frames))
             for n in many:
-                self.store.runs[n] = [parts[n]]
+                self.store.runs[n] = []
+                self.store.add(n, parts[n], 0, self.gen)
         self.store.collect_garbage()
 
     def check_cycles(self) -> None:

@@ -30,6 +30,7 @@ class Store:
         self.root = f"{shared_dir(spark)}/horncast-model-{uuid.uuid4().hex}"
         self.width = max([1, *(r.width for r in theory.relations.values())])
         self.runs: dict[str, list[str]] = {name: [] for name in theory.relations}
+        self.span: dict[str, tuple[int, int]] = {}  # least and greatest gen in a run
         self.writes = 0
         jvm = spark._jvm
         self.path_of = jvm.org.apache.hadoop.fs.Path
@@ -42,18 +43,32 @@ class Store:
     def schema(self, relation: str) -> T.StructType:
         return T.StructType([*[T.StructField(c, T.LongType()) for c in self.columns(relation)], T.StructField("gen", T.LongType())])
 
+    def add(self, relation: str, path: str, first: int, last: int) -> None:
+        """A run whose rows have first <= gen <= last."""
+        self.runs[relation].append(path)
+        self.span[path] = (first, last)
+
     def table(self, relation: str, after: int | None = None, until: int | None = None) -> DataFrame:
-        """Rows of a relation with ``after`` < gen <= ``until``."""
+        """Rows of a relation with ``after`` < gen <= ``until``.
+
+        Only runs that can have such rows are scanned, so that the planner sees the size of a delta and not
+        that of the relation, and broadcasts it where it is small.
+        """
         schema = self.schema(relation)
-        if not self.runs[relation]:
+        low, high = -1 if after is None else after, float("inf") if until is None else until
+        runs = [p for p in self.runs[relation] if self.span[p][1] > low and self.span[p][0] <= high]
+        if not runs:
             return self.spark.createDataFrame([], schema)
-        out = self.spark.read.schema(schema).parquet(*self.runs[relation])
-        if after is not None:
-            out = out.where(F.col("gen") > after)
-        if until is not None:
-            out = out.where(F.col("gen") <= until)
+        out = self.spark.read.schema(schema).parquet(*runs)
+        if any(self.span[p][0] <= low for p in runs):
+            out = out.where(F.col("gen") > low)
+        if any(self.span[p][1] > high for p in runs):
+            out = out.where(F.col("gen") <= high)
         return out
 
+    def bytes(self, paths: list[str]) -> int:
+        return sum(self.fs.getContentSummary(self.path_of(p)).getLength() for p in paths)
+
     def wide(self, relation_tag: str, df: DataFrame, columns: list[str], gen) -> DataFrame:
         """A table's rows in the shape of a write; columns it does not have are 0."""
         have = [F.col(c).cast("long") for c in columns]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from horncast import LimitExceeded, MorphismCycleError, Theory
 from horncast.functions.sugar import axiom, poset, reduction
-from horncast.operators import components
+from horncast.operators import components, engine
 from horncast.sources.binding import bind, decode, encode
 
 GRAPH = "type V; pred edge(V, V);\nrule { if x: V; then edge(x, x); }\nrule { if edge(x, y); if edge(y, z); then edge(x, z); }"
@@ -413,6 +413,26 @@ def test_constants_of_models(model):
     assert rows(m.table("in_both")) == [(x,)]
 
 
+@pytest.mark.parametrize("few", [1 << 20, 0])
+def test_much_that_is_known(model, monkeypatch, few):
+    """The ways to find what is new agree."""
+    monkeypatch.setattr(engine, "MUCH_BYTES", 0)
+    monkeypatch.setattr(engine, "FEW_BYTES", few)
+    m = model(GRAPH)
+    v = [m.new("V") for _ in range(7)]
+    for a, b in zip(v, v[1:], strict=False):
+        m.insert("edge", a, b)
+    m.close()
+    assert m.table("edge").count() == 7 * 8 // 2
+
+
+def test_many_rounds_are_compacted(model, spark):
+    m = model("type V; pred next(V, V); pred reach(V, V);\nrule { if next(x, y); then reach(x, y); }\nrule { if reach(x, y); if next(y, z); then reach(x, z); }")
+    m.load("next", spark.range(20).select("id", (F.col("id") + 1).alias("to")))
+    m.close()
+    assert m.table("reach").count() == 20 * 21 // 2 and len(m.store.runs["reach"]) < 16
+
+
 # Pieces --------------------------------------------------------------------------------------------
 def test_many_edges_are_merged_by_stars(spark, monkeypatch):
     pairs = [("t", i, i + 1) for i in range(0, 40) if i % 10 != 9] + [("t", 100, 200), ("t", 150, 200), ("u", 1, 2), ("u", 5, 5)]
