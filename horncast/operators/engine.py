@@ -73,8 +73,8 @@ class Engine:
                     return self.store.table(name)
                 return self.store.table(name, until=since)
 
-            # An older table that is empty makes the variant empty.
-            if any(not self.store.runs[a.relation] for a in rule.premise):
+            # A table without a run makes the variant empty.
+            if any(not self.store.within(a.relation, -1, since if j > i else float("inf")) for j, a in enumerate(rule.premise) if j != i):
                 continue
             out.append(premise.join(self.spark, rule.premise, i, table, needed))
         return out

@@ -56,9 +56,9 @@ class Store:
         """
         schema = self.schema(relation)
         low, high = -1 if after is None else after, float("inf") if until is None else until
-        runs = [p for p in self.runs[relation] if self.span[p][1] > low and self.span[p][0] <= high]
+        runs = self.within(relation, low, high)
         if not runs:
-            return self.spark.createDataFrame([], schema)
+            return self.spark.range(0).select(*[F.lit(0).cast("long").alias(f.name) for f in schema])
         out = self.spark.read.schema(schema).parquet(*runs)
         if any(self.span[p][0] <= low for p in runs):
             out = out.where(F.col("gen") > low)
@@ -66,6 +66,10 @@ class Store:
             out = out.where(F.col("gen") <= high)
         return out
 
+    def within(self, relation: str, after: float, until: float) -> list[str]:
+        """Runs that can have rows with ``after`` < gen <= ``until``."""
+        return [p for p in self.runs[relation] if self.span[p][1] > after and self.span[p][0] <= until]
+
     def bytes(self, paths: list[str]) -> int:
         return sum(self.fs.getContentSummary(self.path_of(p)).getLength() for p in paths)
 
