@@ -49,7 +49,6 @@ OWN = 16
 
 def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features (lines, OWN) of all lines of a slice, their rows and their lengths in bytes."""
-    n_rows = len(offsets) - 1
     breaks = np.flatnonzero(data == 10)
     begin = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
     begin = begin[begin < len(data)]
@@ -75,14 +74,11 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     length = (words.end - words.start).astype(np.float64)
     total = np.concatenate([[0], np.cumsum(length)])
     short = np.concatenate([[0], np.cumsum(length <= 3)])
-    line_of = np.repeat(np.arange(n), last - first)
-    held = np.concatenate([np.arange(a, b) for a, b in zip(first, last, strict=True)]) if n < 2000 else np.flatnonzero(np.isin(words.doc, row))
-    if len(held) != len(line_of):  # every word is in exactly one line that has words
-        raise AssertionError("words and lines disagree")
-    h, d, _ = textkern.distinct_weighted(words.hash[held], line_of)
+    line_of = np.repeat(np.arange(n), last - first)  # a line break ends a word, so each word is in one line
+    _, d, _ = textkern.distinct_weighted(words.hash, line_of)
     distinct = np.bincount(d, minlength=n)
     line_hash = np.zeros(n, dtype=np.uint64)
-    np.add.at(line_hash, line_of, words.hash[held])  # order does not matter for what this is used for
+    np.add.at(line_hash, line_of, words.hash)  # order does not matter for what this is used for
     _, back, often = np.unique(np.stack([line_hash, row.astype(np.uint64)]), axis=1, return_inverse=True, return_counts=True)
     letters = counts["upper"] + counts["lower"] + 1.0
     out = np.stack(
@@ -93,7 +89,6 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
         ],
         axis=1,
     )
-    assert out.shape[1] == OWN and n_rows >= 0
     return out, row, size
 
 
