@@ -1,11 +1,13 @@
 """``python -m horncast check FILE...``: compiles theories; ``rules FILE``: prints their flat rules; ``run
-FILE --load relation=path.parquet ... --out FOLDER``: closes a model over files of element ids."""
+FILE --load relation=path.parquet ... --out FOLDER``: closes a model over files of element ids; ``migrate
+FILE``: prints a theory of the older surface in the current one, and fails if it had queries."""
 
 from __future__ import annotations
 
 import argparse
 import sys
 
+from .functions.legacy import translate
 from .lang.errors import TheoryError
 from .model import load_theory
 
@@ -13,7 +15,7 @@ from .model import load_theory
 def main(argv: list[str]) -> int:
     parser = argparse.ArgumentParser(prog="horncast", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("check", "rules"):
+    for name in ("check", "rules", "migrate"):
         commands.add_parser(name).add_argument("files", nargs="+")
     run = commands.add_parser("run")
     run.add_argument("file")
@@ -35,6 +37,16 @@ def main(argv: list[str]) -> int:
             for relation in theory.compiled.relations:
                 model.table(relation).write.mode("overwrite").parquet(f"{args.out}/{relation}.parquet")
             return 0
+        if args.command == "migrate":
+            left_out = []
+            for file in args.files:
+                with open(file, encoding="utf-8") as f:
+                    done = translate(f.read())
+                print(done.source, end="")
+                left_out += done.left_out
+            if left_out:
+                print(f"queries have no counterpart: {', '.join(left_out)}", file=sys.stderr)
+            return int(bool(left_out))
         for file in args.files:
             compiled = load_theory(file).compiled
             print(f"{file}: {len(compiled.relations)} relations, {len(compiled.rules)} flat rules")

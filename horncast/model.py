@@ -302,6 +302,11 @@ class Model:
             return self.spark.createDataFrame([], ", ".join(f"{v} bigint" for v in variables))
         return self.engine.merged(found).distinct()
 
+    def classes(self, type_name: str) -> DataFrame:
+        """(el, root) for every element that is not its class's root, as of the last close."""
+        self.relation(type_name, "type")
+        return self.engine.roots_table(type_name)
+
     def canonical(self, df: DataFrame, column: str, type_name: str) -> DataFrame:
         """``df`` with a column of ids replaced by their roots."""
         roots = self.engine.roots_table(type_name).select(F.col("el").alias("_el"), F.col("root").alias("_root"))

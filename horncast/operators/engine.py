@@ -314,9 +314,10 @@ class Engine:
         self.check_cycles()
         if done and done():
             return True
+        before = self.rounds
         while True:
             self.rounds += 1
-            if max_rounds is not None and self.rounds > max_rounds:
+            if max_rounds is not None and self.rounds - before > max_rounds:
                 raise LimitExceeded(f"no fixed point after {max_rounds} rounds")
             self.take(*self.rules_round())
             self.check_cycles()
