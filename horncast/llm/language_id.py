@@ -50,38 +50,40 @@ class Model:
     table: np.ndarray | None = None  # (tokens, languages) log frequencies
 
     def start(self) -> None:
-        """A memo of rows for unknown words, of bounded size."""
-        self.known = dict(self.words)
-        self.extra: list[np.ndarray] = []
+        """A memo of unknown words, of bounded size."""
+        self.memo: dict[str, tuple[int, ...]] = {}
 
-    def back_off(self, word: str) -> np.ndarray:
+    def back_off(self, word: str) -> tuple[int, ...]:
+        """Rows of the word's known n-grams, of the longest length of which there are any."""
+        known = self.grams
         for n in NGRAMS:
-            at = [self.grams[g] for g in grams(word, n) if g in self.grams]
+            at = tuple(known[g] for g in grams(word, n) if g in known)
             if at:
-                return self.table[at].mean(axis=0)
-        return np.zeros(len(self.langs), np.float32)
+                return at
+        return ()
 
     def judge(self, text: str | None) -> tuple[str, float]:
         words = LETTERS.findall((text or "").lower())
         if not self.langs or not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0
-        counts = Counter(words)
-        size = len(self.table)
-        at, own = [], []
-        if len(self.extra) > MEMO:
-            self.start()
-        for w in counts:
-            i = self.known.get(w)
-            if i is None:
-                i = self.known[w] = size + len(self.extra)
-                self.extra.append(self.back_off(w))
-            (at if i < size else own).append((i, counts[w]))
-        total = self.prior.copy()
-        if at:
-            i, c = np.array(at).T
-            total = total + c @ self.table[i]
-        if own:
-            total = total + sum(c * self.extra[i - size].astype(np.float64) for i, c in own)
+        # Rows of the table and what each counts: a known word's own row, or a share of each of its n-grams'.
+        rows, shares = [], []
+        known, memo = self.words, self.memo
+        if len(memo) > MEMO:
+            memo.clear()
+        for w, n in Counter(words).items():
+            i = known.get(w)
+            if i is not None:
+                rows.append(i)
+                shares.append(n)
+                continue
+            at = memo.get(w)
+            if at is None:
+                at = memo[w] = self.back_off(w)
+            if at:
+                rows += at
+                shares += [n / len(at)] * len(at)
+        total = self.prior + np.array(shares) @ self.table[rows] if rows else self.prior
         best = int(np.argmax(total))
         return self.langs[best], float(1.0 / np.exp(np.maximum(total - total[best], -700)).sum())
 

@@ -294,8 +294,10 @@ def test_language_of_held_out_texts_and_of_unknown_words(spark):
 def test_back_off_takes_the_longest_known_grams():
     model = language_id.Model(["a", "b"], np.log([0.5, 0.5]), {"known": 0}, {"wxyz"[:2]: 1, "q": 2}, np.array([[-1, -9], [-2, -8], [-3, -7]], np.float32))
     model.start()
-    assert model.back_off("wx").tolist() == [-2, -8] and model.back_off("q").tolist() == [-3, -7] and model.back_off("zz").tolist() == [0, 0]
+    assert model.back_off("wx") == (1,) and model.back_off("q") == (2,) and model.back_off("qq") == (2, 2) and model.back_off("zz") == ()
     assert model.judge("known")[0] == "a" and model.judge("wx wx 12 ²")[0] == "a"
+    lang, score = model.judge("known qq zz wxq")  # log odds 8, then 4, none, and 6 (of wx, since no longer gram of wxq is known)
+    assert lang == "a" and score == pytest.approx(1 / (1 + np.exp(-18)))
 
 
 def test_language_of_odd_texts(spark):
