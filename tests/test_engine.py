@@ -398,6 +398,31 @@ def test_images_of_members(model):
     assert m.table("magma_member_el").count() == 4 and m.holds("magma_member_el", h, fxx)
 
 
+def test_coproduct_of_groups(model):
+    """The group with maps from Z2 and Z3, and nothing else, is Z6."""
+    m = model("""
+        model Ab {
+          type El; func add(El, El) -> El; func zero() -> El; func neg(El) -> El;
+          rule { then zero()!; }
+          rule { if x: El; if y: El; then add(x, y)!; }
+          rule { if x: El; then neg(x)!; }
+          rule { if z = zero(); if s = add(z, x); then s = x; }
+          rule { if n = neg(x); if s = add(n, x); if z = zero(); then s = z; }
+          rule { if s = add(x, y); then add(y, x) = s; }
+          rule { if a = add(x, add(y, z)); if b = add(add(x, y), z); then a = b; }
+        }
+        rule { if g: Ab; if x: g.El; if dom(f) = g; if cod(f)!; then f@(x)!; }""")
+    two, three, both = (m.new("Ab") for _ in range(3))
+    a, b = m.new("El", two), m.new("El", three)
+    m.equate("El", m.define("add", two, a, a), m.define("zero", two))
+    m.equate("El", m.define("add", three, b, m.define("add", three, b, b)), m.define("zero", three))
+    for g in (two, three):
+        arrow(m, "ab", m.new("AbMor"), g, both)
+    m.close(max_rounds=80)
+    sizes = {r["c0"]: r["count"] for r in m.table("ab_member_el").groupBy("c0").count().collect()}
+    assert sizes == {two: 2, three: 3, both: 6}
+
+
 def test_constants_of_models(model):
     m = model(SUBSETS + """
         func a() -> Subs; func b() -> Subs; func f() -> Mor(Subs); pred in_both(C);
