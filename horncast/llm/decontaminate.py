@@ -3,7 +3,10 @@
 An item is found in a document if the document holds at least ``THRESHOLD`` of the item's distinct
 five-word shingles (words are runs of letters, digits and non-ASCII characters, in lower case).
 
-An item is short and a document may be long, so that their Jaccard similarity says nothing.  Sizes are
+Items of at most ``EXACT`` shingles are found without sampling: of n shingles of which a document must hold m,
+it holds one of any n - m + 1, so these (the rarest among the items) are looked up for every shingle of a text.
+
+A longer item is still short and a document may be long, so that their Jaccard similarity says nothing.  Sizes are
 therefore partitioned in powers of two: an item of n shingles belongs to the class of blocks of 2**c
 shingles, 2**c >= n.  A document's shingles are cut into such blocks for every class, and two neighbouring
 blocks make a window; a passage of up to 2**c shingles lies in a window, whose size is at most four times
@@ -25,7 +28,8 @@ row by row.  Empty tables give an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +42,8 @@ from .common import by_value
 
 SHINGLE, THRESHOLD = 5, 0.8
 REGISTERS, SMALLEST = 48, 3
+#: Items of so many shingles at most are looked up; longer ones are in class SMALLEST or above, with windows below four times their size.
+EXACT = 4
 BLOCK_BYTES = 8 << 20
 #: What ``textkern`` takes for a word, for exact verification.
 WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]+")
@@ -59,10 +65,22 @@ def register(hashes: np.ndarray, k: int) -> np.ndarray:
     return (hashes ^ (hashes >> U(29))) * U(((2 * k + 3) * 0xBF58476D1CE4E5B9 + 2 * k) % 2**64 | 1) ^ U(k * 0x94D049BB133111EB % 2**64)
 
 
+def collect(found: set[tuple[int, int]], values: np.ndarray, items: np.ndarray, wanted: np.ndarray, row_of: Callable[[np.ndarray], np.ndarray]) -> None:
+    """Adds (row, item) to ``found`` wherever ``wanted`` has one of the sorted ``values``; ``row_of`` gives the rows of places in ``wanted``."""
+    p = np.searchsorted(values, wanted)
+    hit = np.flatnonzero(values[np.minimum(p, len(values) - 1)] == wanted)
+    if len(hit):
+        # A row that repeats a value has it once.
+        pairs = np.unique(np.stack([row_of(hit), p[hit]]), axis=1)
+        ends = np.searchsorted(values, values[pairs[1]], side="right")
+        for r, i, j in zip(pairs[0].tolist(), pairs[1].tolist(), ends.tolist(), strict=True):
+            found.update((r, x) for x in items[i:j].tolist())
+
+
 class Items:
     """A block of items: registers of each, and exact shingles for verification."""
 
-    def __init__(self, items: list[tuple], size: int, registers: int):
+    def __init__(self, items: list[tuple], size: int, threshold: float, registers: int):
         self.size, self.registers = size, registers
         self.ids, self.sets, hashes = [], [], []
         for item_id, text in items:
@@ -73,8 +91,18 @@ class Items:
             hashes.append(textkern.shingles(textkern.Words(data, np.array([0, len(data)]), "alnum"), size)[0])
             self.ids.append(item_id)
             self.sets.append(shingles)
-        classes = np.array([size_class(len(s)) for s in self.sets], dtype=np.int64)
-        self.classes = sorted(set(classes.tolist()))
+        few = [i for i, s in enumerate(self.sets) if len(s) <= EXACT]
+        often = Counter(h for i in few for h in set(hashes[i].tolist()))
+        keys = []
+        for i in few:
+            own = sorted(set(hashes[i].tolist()), key=lambda h: (often[h], h))
+            must = next((k for k in range(1, len(own)) if k / len(own) >= threshold), len(own))
+            keys += [(h, i) for h in own[: len(own) - must + 1]]
+        keys.sort()
+        #: sorted shingles that tell an item of at most EXACT shingles, and the items
+        self.exact = np.array([h for h, _ in keys], dtype=U), np.array([i for _, i in keys], dtype=np.int64)
+        classes = np.array([size_class(len(s)) if len(s) > EXACT else -1 for s in self.sets], dtype=np.int64)
+        self.classes = sorted(set(classes.tolist()) - {-1})
         #: (class, register) -> sorted values and the items that have them
         self.index = {}
         for c in self.classes:
@@ -89,7 +117,11 @@ class Items:
         found: set[tuple[int, int]] = set()
         counts = np.diff(first)
         rows = np.flatnonzero(counts > 0)
-        if not len(rows) or not self.classes:
+        if not len(rows):
+            return found
+        if len(self.exact[0]):
+            collect(found, *self.exact, hashes, lambda hit: np.searchsorted(first, hit, side="right") - 1)
+        if not self.classes:
             return found
         # Block edges of the smallest class: every 2**SMALLEST shingles from a row's first one.
         step = 1 << SMALLEST
@@ -113,19 +145,13 @@ class Items:
                 # Windows are neighbouring blocks; a row's last block goes with itself.
                 after = np.minimum(np.arange(len(low)) + 1, np.repeat(begin[1:], n) - 1)
                 window = np.minimum(low, low[after])
-                p = np.searchsorted(values, window)
-                hit = np.flatnonzero(values[np.minimum(p, len(values) - 1)] == window)
-                if len(hit):
-                    owner = rows[np.searchsorted(begin, hit, side="right") - 1]
-                    ends = np.searchsorted(values, window[hit], side="right")
-                    for r, i, j in zip(owner.tolist(), p[hit].tolist(), ends.tolist(), strict=True):
-                        found.update((r, x) for x in items[i:j].tolist())
+                collect(found, values, items, window, lambda hit, begin=begin: rows[np.searchsorted(begin, hit, side="right") - 1])
         return found
 
 
 def _scan(docs: DataFrame, items: list[tuple], text: str, size: int, threshold: float, registers: int, ids: tuple) -> DataFrame:
     by_value()
-    block = docs.sparkSession.sparkContext.broadcast(Items(items, size, registers))
+    block = docs.sparkSession.sparkContext.broadcast(Items(items, size, threshold, registers))
     schema = f"_doc_row {ids[0]}, _item_row {ids[1]}, containment double"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +225,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item
 
 def _filter(docs: DataFrame, items: list[tuple], text: str, size: int, threshold: float, registers: int) -> DataFrame:
     by_value()
-    block = docs.sparkSession.sparkContext.broadcast(Items(items, size, registers))
+    block = docs.sparkSession.sparkContext.broadcast(Items(items, size, threshold, registers))
     column = docs.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

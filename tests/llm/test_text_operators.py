@@ -196,6 +196,19 @@ def test_items_in_blocks(spark, monkeypatch):
     assert {tuple(r)[:2] for r in decontaminate.contained_items(docs_of(spark, texts), table).collect()} == {(i, i) for i in range(30)}
 
 
+def test_shortest_items_are_never_missed(spark):
+    rng = random.Random(12)
+    items = [" ".join(words(rng, 5 + i % 4, 10**9)) for i in range(2000)]  # 1 to 4 shingles
+    texts = [" ".join([*words(rng, 20, 10**9), x, *words(rng, 20, 10**9)]) for x in items]
+    # An item whose shingles are all there, but apart; one that lacks a shingle; a text that repeats an item.
+    a = items[1].split()
+    texts += [" ".join([*a[:5], *words(rng, 300), *a[1:]]), " ".join([*a[:5], "other"]), " ".join(items[:1] * 50)]
+    table = spark.createDataFrame(list(enumerate([*items, items[0]])), "item_id long, text string")
+    got = sorted(tuple(r)[:2] for r in decontaminate.contained_items(docs_of(spark, texts), table).collect())
+    assert got == sorted([(i, i) for i in range(2000)] + [(0, 2000), (2000, 1), (2002, 0), (2002, 2000)])
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs_of(spark, texts), table).collect()] == [2001]
+
+
 def test_no_items_no_leaks(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contained_items(docs_of(spark, ["a b c d e f"]), none).count() == 0
