@@ -2,7 +2,8 @@
 
 1. Targets: every source has a weight; the total size is shared by weight, no source gets more than
    ``max_repeats`` times its own size, and the excess is shared again by weight until none is above.
-2. Blocks: the total is cut into blocks of equal tokens, ``blocks_per_shard`` for each of ``shards``.
+2. Blocks: the total is cut into blocks of equal tokens, ``blocks_per_shard`` for each of ``shards``; unless
+   told otherwise as many as there are tokens, so that the smallest source beside the largest gets its target.
    Seats (blocks) go to the sources with the highest quotients target / (2k - 1).  The first j x
    blocks_per_shard seats belong to the first j shards, so that a shard's quota of a source is the
    difference of two allotments; Sainte-Lague never takes a seat back as the house grows.
@@ -95,7 +96,7 @@ def mix_sources(
     weights: Sequence[float] = (5.0, 2.0, 1.0),
     max_repeats: int = 3,
     shards: int = 16,
-    blocks_per_shard: int = 4096,
+    blocks_per_shard: int | None = None,
     seed: int = 17,
 ) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target`` (both of the row's source), ``taken`` and ``copies``."""
@@ -110,7 +111,8 @@ def mix_sources(
     sources = source_targets(per, weights, max_repeats)
     facts = sources.agg(F.sum("source_size").alias("total"), F.max("n").alias("n")).first()
     total, most = facts["total"] or 0, facts["n"] or 0
-    per_shard = max(1, min(blocks_per_shard, total // shards))
+    # Seats are allotted in closed form: a block of one or two tokens costs no more than a larger one.
+    per_shard = max(1, total // shards if blocks_per_shard is None else min(blocks_per_shard, total // shards))
     block = total / (per_shard * shards)
     quotas = settle(shard_quotas(sources, shards, per_shard), "quotas")
     plan = quotas.groupBy("place").agg(F.sum("quota").alias("blocks")).join(sources, "place")

@@ -157,6 +157,21 @@ def test_quotas_fill_every_shard(spark):
     assert per == dict.fromkeys(range(6), 50)
 
 
+def test_a_tiny_source_beside_a_huge_one_gets_its_target(spark):
+    rows = [(i, "huge", 20_000_000 + i) for i in range(200)] + [(1000 + i, "large", 10_000_000) for i in range(200)]
+    rows += [(2000 + i, None, 7 + i) for i in range(10)] + [(3000, "one", 1), (3001, "two", 90_001)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n long")
+    got = mixing.mix_sources(docs, F.col("n")).collect()
+    sizes, taken = defaultdict(int), Counter()
+    for _, s, n in rows:
+        sizes[s] += n
+    targets = brute_targets(sizes, (5, 2, 1), 3)
+    for r in got:
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - t) <= 4 for s, t in targets.items()), (taken, targets)
+    assert all(r["copies"] == 3 for r in got if r["source"] in ("one", "two")) and all(r["copies"] >= 2 for r in got if r["source"] is None)
+
+
 def test_mixing_odd_tables(spark):
     size = common.word_count(F.col("text"))
     assert mixing.mix_sources(docs_of(spark, []), size).count() == 0
