@@ -9,8 +9,9 @@ Labels are of documents, so lines are labelled in two steps: a line-by-line logi
 each document's label on all its lines; in bad documents, lines that this model finds good are relabelled
 good, but for the worst line.  Then the field is fitted by gradient ascent on the conditional likelihood.
 
-Fitting uses at most ``TRAIN_DOCS`` labelled documents (those with the least hash of their id), and the
-first ``TRAIN_LINES`` lines of each; this bounds what reaches the driver.  Scoring covers every line of every
+Fitting uses at most ``TRAIN_DOCS`` labelled documents (those with the least hash of their id), each with all
+its lines; one that would bring the lines of all to more than ``TRAIN_LINES`` is passed over as a whole.  This
+bounds what reaches the driver.  Scoring covers every line of every
 text, on executors, with the fitted weights broadcast.
 
 Defined results: a null text, and one without a line that has a visible byte, has no line and scores 0.0.
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 from . import textkern
 from .common import by_value
 
-TRAIN_DOCS, TRAIN_LINES = 4000, 200
+TRAIN_DOCS, TRAIN_LINES = 4000, 800_000
 EMPTY_SCORE = 0.0
 #: Byte classes that are counted for each line.
 CLASSES = {
@@ -241,22 +242,36 @@ def train(docs: DataFrame, labels: DataFrame, *, id_column: str, text: str, labe
     by_value()
     picked = labels.where(F.col(id_column).isNotNull() & F.col(label).isNotNull()).groupBy(id_column).agg(F.min(label).alias("_label"))
     picked = picked.orderBy(F.xxhash64(id_column), id_column).limit(train_docs)  # bounds what is broadcast
-    sample = docs.select(F.col(id_column), F.col(text).alias("_text")).join(F.broadcast(picked), id_column).select("_label", "_text")
+    sample = docs.select(F.col(id_column), F.col(text).alias("_text")).join(F.broadcast(picked), id_column)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, offsets in textkern.slices(batch.column(1)):
                 own, row, size = line_features(data, offsets)
                 edge = np.searchsorted(row, np.arange(len(offsets)))
-                out: tuple[list, list, list] = ([], [], [])
+                out: tuple[list, list, list, list] = ([], [], [], [])
                 for r in range(len(offsets) - 1):
-                    part = slice(edge[r], min(edge[r + 1], edge[r] + TRAIN_LINES))
+                    part = slice(edge[r], edge[r + 1])
                     out[0].append(batch.column(0)[first + r].as_py())
                     out[1].append(own[part].astype(np.float32).tobytes())
                     out[2].append(size[part].astype(np.float32).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["label", "own", "size"])
-
-    rows = sample.select(F.col("_label").cast("int"), "_text").mapInArrow(work, "label int, own binary, size binary").limit(train_docs).collect()
+                    out[3].append(batch.column(2)[first + r].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int64())], names=["label", "own", "size", "at"])
+
+    made = sample.select(F.col("_label").cast("int"), "_text", F.xxhash64(id_column).alias("_order")).mapInArrow(work, "label int, own binary, size binary, at bigint")
+    held = made.limit(train_docs).withColumn("_mark", F.xxhash64("at", "label", "own", "size")).persist()
+    try:
+        # Whole documents only, as many as fit.
+        counts = held.groupBy("at", "_mark").agg(F.sum(F.expr("octet_length(size) div 4")).alias("n")).collect()
+        room, over = TRAIN_LINES, []
+        for at, mark, n in sorted(tuple(r) for r in counts):
+            if n > room:
+                over.append(mark)
+            else:
+                room -= n
+        rows = held.where(~F.col("_mark").isin(over)).collect() if over else held.collect()
+    finally:
+        held.unpersist()
     rows = sorted(rows, key=lambda r: (bytes(r["own"]), r["label"]))  # the same model, whatever the order of partitions
     own = [np.frombuffer(r["own"], np.float32).reshape(-1, OWN).astype(np.float64) for r in rows]
     size = [np.frombuffer(r["size"], np.float32).astype(np.float64) for r in rows]

@@ -272,6 +272,24 @@ def test_quality_of_odd_texts(spark):
     assert quality_crf.score_texts(docs_of(spark, []), model).count() == 0
 
 
+def test_quality_learns_from_every_line(spark, monkeypatch):
+    rng = random.Random(9)
+    good = lambda n: [" ".join(words(rng, rng.randrange(5, 15))).capitalize() + "." for _ in range(n)]
+    junk = lambda n: [" ".join(w.upper() + "!!" for w in words(rng, 8)) for _ in range(n)]
+    texts = ["\n".join(good(230) if i % 2 else good(200) + junk(200)) for i in range(24)]
+    docs, labels = docs_of(spark, texts), spark.createDataFrame([(i, i % 2) for i in range(24)], "doc_id long, quality int")
+    new = docs_of(spark, ["\n".join(junk(20)), "\n".join(good(20))])
+    train = lambda: quality_crf.train(docs, labels, id_column="doc_id", text="text", label="quality")
+    bad, fine = [r["score"] for r in quality_crf.score_texts(new, train()).orderBy("doc_id").collect()]
+    assert bad < 0.3 and fine > 0.7
+    fitted, fit = [], quality_crf.fit
+    monkeypatch.setattr(quality_crf, "TRAIN_LINES", 1000)
+    monkeypatch.setattr(quality_crf, "fit", lambda own, row, size, y: fitted.append(row) or fit(own, row, size, y))
+    train()
+    lines = np.bincount(fitted[0])
+    assert 700 < lines.sum() <= 1000 and set(lines.tolist()) <= {230, 400}  # whole documents
+
+
 def test_quality_without_both_labels(spark):
     docs, labels, _ = quality_rows(spark)
     for some in (labels.where("quality = 1"), labels.where("false"), labels.withColumn("quality", F.lit(None).cast("int"))):
