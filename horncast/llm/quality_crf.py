@@ -69,8 +69,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     for name, members in CLASSES.items():
         table = np.zeros(256, dtype=np.int64)
         table[list(members)] = 1
-        sums = np.concatenate([[0], np.cumsum(table[data])])
-        counts[name] = (sums[end] - sums[begin]).astype(np.float64)
+        counts[name] = (textkern.counts_before(table, data, end) - textkern.counts_before(table, data, begin)).astype(np.float64)
     n_words = (last - first).astype(np.float64)
     length = (words.end - words.start).astype(np.float64)
     total = np.concatenate([[0], np.cumsum(length)])

@@ -2,7 +2,8 @@
 
 A column is worked through in slices of about ``SLICE_BYTES`` of text and at most ``SLICE_ROWS`` rows (one
 row at least), so that memory does not depend on the batch.  Hashes are polynomials modulo 2**64 over random byte values, taken from one
-running sum, so that no word is ever made into a Python object.
+running sum, so that no word is ever made into a Python object.  A row may be longer than a slice: its bytes are
+walked in pieces of ``SLICE_BYTES``, so that only its words and shingles are held, not the sums over its bytes.
 """
 
 from __future__ import annotations
@@ -51,16 +52,31 @@ class _Cache(dict):
 _POWERS: dict[int, np.ndarray] = _Cache()
 
 
-def _inverse_powers(n: int) -> np.ndarray:
-    """WORD_MUL ** -i for i < n; and of WORD_MUL itself (key 1)."""
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """WORD_MUL ** i and WORD_MUL ** -i for i < n; n is SLICE_BYTES at most, so the cache is bounded."""
     if 0 not in _POWERS or len(_POWERS[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        inverse = U(pow(int(WORD_MUL), -1, 1 << 64))
-        for key, base in ((0, inverse), (1, WORD_MUL)):
-            p = np.full(size, base, dtype=U)
+        for key, base in ((0, pow(int(WORD_MUL), -1, 1 << 64)), (1, int(WORD_MUL))):
+            p = np.full(n, base, dtype=U)
             p[0] = 1
             _POWERS[key] = np.multiply.accumulate(p)
-    return _POWERS[0]
+    return _POWERS[1][:n], _POWERS[0][:n]
+
+
+def pieces(n: int):
+    """(begin, end) of runs of at most SLICE_BYTES bytes."""
+    for a in range(0, n, SLICE_BYTES):
+        yield a, min(n, a + SLICE_BYTES)
+
+
+def counts_before(table: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each of the sorted positions ``at``, the sum of ``table`` over the bytes before it."""
+    out, total = np.zeros(len(at), dtype=np.int64), 0
+    for a, b in pieces(len(data)):
+        sums = np.cumsum(table[data[a:b]])
+        lo, hi = np.searchsorted(at, (a, b), side="right")
+        out[lo:hi] = total + sums[at[lo:hi] - a - 1]
+        total += int(sums[-1])
+    return out
 
 
 def slices(column: pa.Array, max_bytes: int = SLICE_BYTES):
@@ -88,23 +104,34 @@ class Words:
     """Words of a slice: ``start``, ``end`` (byte positions), ``doc`` (row in the slice), ``hash``, and ``first`` (per row, its first word; one more at the end)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: str = "space"):
-        inside = _table(kind)[data]
-        head, tail = inside.copy(), inside.copy()
-        if len(data):
-            head[1:] &= ~inside[:-1]
-            tail[:-1] &= ~inside[1:]
-            full = offsets[:-1] < offsets[1:]  # rows with bytes: a word never runs over a row's edge
-            a, b = offsets[:-1][full], offsets[1:][full] - 1
-            head[a] = inside[a]
-            tail[b] = inside[b]
-        self.start = np.flatnonzero(head)
-        self.end = np.flatnonzero(tail) + 1
+        inside, values, n = _table(kind), _byte_values(), len(data)
+        starts, ends, at_start, at_end = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, U)], [np.zeros(0, U)]
+        inverses, total, scale, inverse_scale = [np.zeros(0, U)], U(0), 1, 1
+        for a, b in pieces(n):
+            here = inside[data[a:b]]
+            before, after = np.empty_like(here), np.empty_like(here)
+            before[1:], after[:-1] = here[:-1], here[1:]
+            before[0], after[-1] = a > 0 and inside[data[a - 1]], b < n and inside[data[min(b, n - 1)]]
+            edge = offsets[(offsets >= a) & (offsets <= b)] - a  # a word never runs over a row's edge
+            before[edge[edge < b - a]] = False
+            after[edge[edge > 0] - 1] = False
+            s, e = np.flatnonzero(here & ~before), np.flatnonzero(here & ~after) + 1
+            up, down = _powers(b - a)
+            sums = np.zeros(b - a + 1, dtype=U)
+            np.cumsum(values[data[a:b]] * up, out=sums[1:])
+            sums = sums * U(scale) + total
+            starts.append(s + a)
+            ends.append(e + a)
+            at_start.append(sums[s])
+            at_end.append(sums[e])
+            inverses.append(down[s] * U(inverse_scale))
+            total = sums[-1]
+            scale = scale * pow(int(WORD_MUL), b - a, 1 << 64) % 2**64
+            inverse_scale = inverse_scale * pow(int(WORD_MUL), -(b - a), 1 << 64) % 2**64
+        self.start, self.end = np.concatenate(starts), np.concatenate(ends)
         self.first = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
-        inverse = _inverse_powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, dtype=U)
-        np.cumsum(_byte_values()[data] * _POWERS[1][: len(data)], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * inverse[self.start])
+        self.hash = mix((np.concatenate(at_end) - np.concatenate(at_start)) * np.concatenate(inverses))
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
