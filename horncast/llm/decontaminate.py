@@ -1,48 +1,56 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 An item is found in a document if the document holds at least ``THRESHOLD`` of the item's distinct
-five-word shingles (words are runs of letters, digits and non-ASCII characters, in lower case).
+five-word shingles, wherever they are (words are runs of letters, digits and non-ASCII characters, in lower case).
 
-Items of at most ``EXACT`` shingles are found without sampling: of n shingles of which a document must hold m,
-it holds one of any n - m + 1, so these (the rarest among the items) are looked up for every shingle of a text.
-
-A longer item is still short and a document may be long, so that their Jaccard similarity says nothing.  Sizes are
+Search: an item is short and a document may be long, so that their Jaccard similarity says nothing.  Sizes are
 therefore partitioned in powers of two: an item of n shingles belongs to the class of blocks of 2**c
 shingles, 2**c >= n.  A document's shingles are cut into such blocks for every class, and two neighbouring
 blocks make a window; a passage of up to 2**c shingles lies in a window, whose size is at most four times
 its own.  Blocks of a class are pairs of blocks of the class below, so that the MinHash registers of all
 classes cost one pass over the shingles: minima of minima.  A document is a candidate for an item if any
-window of the item's class agrees with it in any of ``REGISTERS`` registers; an item with a containment of
-0.8 in a window is missed with a probability below 1e-4.  A document of one window or less is one window.
-Candidates are verified by the exact shingles, as words, over the whole document.
+window of the item's class agrees with it in any of ``REGISTERS`` registers.  A document of one window or less
+is one window.
+
+What windows may miss: items of few shingles, an item whose shingles a document holds scattered, and the share
+below 1e-4 of passages with which no register agrees.  These are exact lookups: of an item's n shingles, of
+which a document must hold m, it holds at least one of any n - m + 1; of each item, those that are rarest among
+the items (a fifth of them) are looked up for every shingle of a text.  So no item is ever missed.
+
+Verification: the exact shingles, as words, are counted over the whole document, in one pass for all its
+candidates; memory holds the candidates' shingles, not the document's.
 
-The items are a stated query set: they are sorted by size class and read in blocks of ``BLOCK_BYTES`` of
-text (their total is measured first), each broadcast to one pass over the documents.  Documents are never
-shuffled; a passage that a third of all documents share costs no more than any other.
+The items are a stated query set.  They are written once, dealt to small buckets by hash, and read in blocks of
+neighbouring buckets of at most ``BLOCK_BYTES`` of text (one bucket, at least: a larger item is a block); each
+block is broadcast to one pass over the documents.  Documents are never shuffled; a passage that a third of all
+documents share costs no more than any other.
 
 Defined results: a null or empty document holds no item.  An item without five words has no shingle and is
 never found (a run of one to four words proves no leak).  Repeated items and repeated documents are found
-row by row.  Empty tables give an empty result.
+row by row; ids may be of any type, also null.  Empty tables give an empty result.  Other columns of both
+tables may have any name; columns of the result are named after the two ids (``_item`` is added to the item's
+where they are the same but for case).
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkern
-from .common import by_value
+from .common import Shielded, by_value, revive, settle, share
 
 SHINGLE, THRESHOLD = 5, 0.8
 REGISTERS, SMALLEST = 48, 3
-#: Items of so many shingles at most are looked up; longer ones are in class SMALLEST or above, with windows below four times their size.
+#: Items of so many shingles at most have no windows: lookups alone find them.
 EXACT = 4
 BLOCK_BYTES = 8 << 20
 #: What ``textkern`` takes for a word, for exact verification.
@@ -56,6 +64,17 @@ def exact_shingles(text: str, size: int) -> set[str]:
     return {" ".join(words[i : i + size]) for i in range(len(words) - size + 1)}
 
 
+def held_shingles(text: str, size: int, wanted: set[str]) -> set[str]:
+    """Those of the ``wanted`` shingles that a text has."""
+    last: deque[str] = deque(maxlen=size)
+    found = set()
+    for m in WORD.finditer(text.lower()):
+        last.append(m[0])
+        if len(last) == size and (run := " ".join(last)) in wanted:
+            found.add(run)
+    return found
+
+
 def size_class(n: int) -> int:
     return max(SMALLEST, int(n - 1).bit_length())
 
@@ -78,28 +97,25 @@ def collect(found: set[tuple[int, int]], values: np.ndarray, items: np.ndarray,
 
 
 class Items:
-    """A block of items: registers of each, and exact shingles for verification."""
-
-    def __init__(self, items: list[tuple], size: int, threshold: float, registers: int):
-        self.size, self.registers = size, registers
-        self.ids, self.sets, hashes = [], [], []
-        for item_id, text in items:
-            shingles = exact_shingles(text or "", size)
-            if not shingles:
-                continue
-            data = np.frombuffer(pc.utf8_lower(pa.scalar(text)).as_py().encode(), dtype=np.uint8)
-            hashes.append(textkern.shingles(textkern.Words(data, np.array([0, len(data)]), "alnum"), size)[0])
-            self.ids.append(item_id)
-            self.sets.append(shingles)
-        few = [i for i, s in enumerate(self.sets) if len(s) <= EXACT]
-        often = Counter(h for i in few for h in set(hashes[i].tolist()))
+    """A block of items: registers of each, and exact shingles for lookups and verification.  Items are numbered as they come."""
+
+    def __init__(self, texts: list[str | None], size: int, threshold: float, registers: int):
+        self.size, self.registers, self.threshold = size, registers, threshold
+        self.sets = [exact_shingles(text or "", size) for text in texts]
+        hashes = []
+        for text in texts:
+            data = np.frombuffer(pc.utf8_lower(pa.scalar(text or "")).as_py().encode(), dtype=np.uint8)
+            words = textkern.Words(data, np.array([0, len(data)]), "alnum")
+            hashes.append(textkern.shingles(words, size)[0] if len(words.hash) >= size else np.zeros(0, U))
+        some = [i for i, s in enumerate(self.sets) if s]
+        often = Counter(h for i in some for h in set(hashes[i].tolist()))
         keys = []
-        for i in few:
+        for i in some:
             own = sorted(set(hashes[i].tolist()), key=lambda h: (often[h], h))
             must = next((k for k in range(1, len(own)) if k / len(own) >= threshold), len(own))
             keys += [(h, i) for h in own[: len(own) - must + 1]]
         keys.sort()
-        #: sorted shingles that tell an item of at most EXACT shingles, and the items
+        #: sorted shingles of which a document that holds an item has one, and the items
         self.exact = np.array([h for h, _ in keys], dtype=U), np.array([i for _, i in keys], dtype=np.int64)
         classes = np.array([size_class(len(s)) if len(s) > EXACT else -1 for s in self.sets], dtype=np.int64)
         self.classes = sorted(set(classes.tolist()) - {-1})
@@ -112,6 +128,22 @@ class Items:
                 order = np.argsort(values, kind="stable")
                 self.index[c, k] = (values[order], of[order])
 
+    def found(self, texts: pa.Array) -> Iterator[tuple[int, int, float]]:
+        """(row, item, containment) of all items that the rows of a column hold, by row and item."""
+        for row, data, offsets in textkern.slices(pc.utf8_lower(texts)):
+            words = textkern.Words(data, offsets, "alnum")
+            hashes, doc = textkern.shingles(words, self.size)
+            first = np.searchsorted(doc, np.arange(len(offsets)))
+            of_row: dict[int, list[int]] = {}
+            for r, i in sorted(self.candidates(hashes, first)):
+                of_row.setdefault(r, []).append(i)
+            for r, items in of_row.items():
+                held = held_shingles(texts[row + r].as_py(), self.size, set().union(*[self.sets[i] for i in items]))
+                for i in items:
+                    part = len(self.sets[i] & held) / len(self.sets[i])
+                    if part >= self.threshold:
+                        yield row + r, i, part
+
     def candidates(self, hashes: np.ndarray, first: np.ndarray) -> set[tuple[int, int]]:
         """(row, item) pairs for rows whose shingles are hashes[first[row]:first[row + 1]]."""
         found: set[tuple[int, int]] = set()
@@ -149,52 +181,27 @@ class Items:
         return found
 
 
-def _scan(docs: DataFrame, items: list[tuple], text: str, size: int, threshold: float, registers: int, ids: tuple) -> DataFrame:
-    by_value()
-    block = docs.sparkSession.sparkContext.broadcast(Items(items, size, threshold, registers))
-    schema = f"_doc_row {ids[0]}, _item_row {ids[1]}, containment double"
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = block.value
-        for batch in batches:
-            texts = batch.column(1)
-            lower = pc.utf8_lower(texts)
-            at, item, share = [], [], []
-            for row, data, offsets in textkern.slices(lower):
-                hashes, doc = textkern.shingles(textkern.Words(data, offsets, "alnum"), size)
-                first = np.searchsorted(doc, np.arange(len(offsets)))
-                exact: tuple = (-1, None)
-                for r, i in sorted(held.candidates(hashes, first)):
-                    if exact[0] != r:
-                        exact = (r, exact_shingles(texts[row + r].as_py(), size))
-                    part = len(held.sets[i] & exact[1]) / len(held.sets[i])
-                    if part >= threshold:
-                        at.append(row + r)
-                        item.append(held.ids[i])
-                        share.append(part)
-            if at:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at)), pa.array(item, type=items_type), pa.array(share, type=pa.float64())],
-                    names=["_doc_row", "_item_row", "containment"],
-                )
-
-    items_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[ids[1]]
-    return docs.select(docs.columns[0], text).mapInArrow(work, schema)
-
-
-def item_blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple]]:
-    """The items in blocks of bounded bytes, by size."""
-    own = items.select(F.col(item_id).alias("id"), F.col(text).alias("text"), (F.octet_length(text) + 64).alias("bytes")).where(F.col("text").isNotNull())
-    total = own.agg(F.sum("bytes")).first()[0] or 0
+def item_blocks(items: DataFrame, item_id: str, text: str) -> Iterator[pa.Table]:
+    """The items (id, text) in blocks of about ``BLOCK_BYTES`` at most."""
+    held = Shielded(items)
+    own = held.rows.select(F.col(held.of(item_id)).alias("id"), F.col(held.of(text)).alias("text")).where("text is not null")
+    size = (F.octet_length("text") + 64).cast("long")
+    total = own.agg(F.sum(size)).first()[0] or 0
+    if not total:
+        return
     if total <= BLOCK_BYTES:
-        if total:
-            yield [tuple(r) for r in own.select("id", "text").orderBy("bytes", "id").collect()]
+        yield own.toArrow()
         return
-    # Blocks are runs of the items in order of size; each is collected alone.
-    n = -(-total // BLOCK_BYTES) * 2
-    cut = own.withColumn("block", F.ntile(int(n)).over(Window.orderBy("bytes", "id")))
-    for b in range(1, int(n) + 1):
-        yield [tuple(r) for r in cut.where(F.col("block") == b).select("id", "text").collect()]
+    # Buckets of an eighth of a block, on average, are written in order, so that a block is a scan of few row groups.
+    n = int(-(-total * 8 // BLOCK_BYTES))
+    bucket = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    dealt = settle(own.withColumn("bucket", bucket).repartitionByRange("bucket").sortWithinPartitions("bucket"), "items")
+    begin, held_bytes = 0, 0
+    for b, m in [*sorted(map(tuple, dealt.groupBy("bucket").agg(F.sum(size)).collect())), (n, BLOCK_BYTES)]:
+        if held_bytes and held_bytes + m > BLOCK_BYTES:
+            yield dealt.where((F.col("bucket") >= begin) & (F.col("bucket") < b)).select("id", "text").toArrow()
+            begin, held_bytes = b, 0
+        held_bytes += m
 
 
 def contained_items(
@@ -202,46 +209,50 @@ def contained_items(
     shingle: int = SHINGLE, threshold: float = THRESHOLD, registers: int = REGISTERS,
 ) -> DataFrame:
     """(id, item id, containment) for every document that holds an item."""
-    kinds = dict(docs.dtypes)[id_column], dict(items.dtypes)[item_id]
-    rows = docs.select(F.col(id_column).alias("_row"), F.col(text).alias("_text"))
-    out = None
+    by_value()
+    held, asked, spark = Shielded(docs), Shielded(items), docs.sparkSession
+    rows = held.rows.select(F.col(held.of(id_column)).alias("row"), F.col(held.of(text)).alias("text"))
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("item", asked.rows.schema[asked.of(item_id)].dataType), T.StructField("containment", T.DoubleType())])
+    out = spark.createDataFrame([], schema)
     for block in item_blocks(items, item_id, item_text):
-        part = _scan(rows, block, "_text", shingle, threshold, registers, kinds)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], f"_doc_row {kinds[0]}, _item_row {kinds[1]}, containment double")
-    names = (id_column, item_id) if id_column != item_id else (id_column, f"{item_id}_item")
-    return out.select(F.col("_doc_row").alias(names[0]), F.col("_item_row").alias(names[1]), "containment")
+        out = out.unionByName(_scan(rows, block, schema, shingle, threshold, registers))
+    return out.toDF(id_column, item_id if item_id.lower() != id_column.lower() else f"{item_id}_item", "containment")
+
+
+def _scan(rows: DataFrame, block: pa.Table, schema: T.StructType, size: int, threshold: float, registers: int) -> DataFrame:
+    spark = rows.sparkSession
+    shared = share(spark, Items(block.column("text").to_pylist(), size, threshold, registers))
+    ids = spark.sparkContext.broadcast(pa.concat_arrays(block.column("id").chunks))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = revive(Items, shared)
+        for batch in batches:
+            hits = list(items.found(batch.column(1)))
+            if hits:
+                at, item, part = zip(*hits, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), ids.value.take(pa.array(item)), pa.array(part, type=pa.float64())], names=["row", "item", "containment"])
+
+    return rows.mapInArrow(work, schema)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that hold no item, in one pass over them for each block of items."""
-    shingle, threshold, registers = how.get("shingle", SHINGLE), how.get("threshold", THRESHOLD), how.get("registers", REGISTERS)
-    out = docs
+    by_value()
+    held = Shielded(docs)
+    out, column = held.rows, held.rows.columns.index(held.of(text))
     for block in item_blocks(items, item_id, item_text):
-        out = _filter(out, block, text, shingle, threshold, registers)
-    return out
+        out = _filter(out, block, column, how.get("shingle", SHINGLE), how.get("threshold", THRESHOLD), how.get("registers", REGISTERS))
+    return held.restore(out)
 
 
-def _filter(docs: DataFrame, items: list[tuple], text: str, size: int, threshold: float, registers: int) -> DataFrame:
-    by_value()
-    block = docs.sparkSession.sparkContext.broadcast(Items(items, size, threshold, registers))
-    column = docs.columns.index(text)
+def _filter(rows: DataFrame, block: pa.Table, column: int, size: int, threshold: float, registers: int) -> DataFrame:
+    shared = share(rows.sparkSession, Items(block.column("text").to_pylist(), size, threshold, registers))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = block.value
+        items = revive(Items, shared)
         for batch in batches:
-            texts = batch.column(column)
             keep = np.ones(batch.num_rows, dtype=bool)
-            for row, data, offsets in textkern.slices(pc.utf8_lower(texts)):
-                hashes, doc = textkern.shingles(textkern.Words(data, offsets, "alnum"), size)
-                first = np.searchsorted(doc, np.arange(len(offsets)))
-                exact: tuple = (-1, None)
-                for r, i in sorted(held.candidates(hashes, first)):
-                    if keep[row + r]:
-                        if exact[0] != r:
-                            exact = (r, exact_shingles(texts[row + r].as_py(), size))
-                        keep[row + r] = len(held.sets[i] & exact[1]) / len(held.sets[i]) < threshold
+            keep[[r for r, _, _ in items.found(batch.column(column))]] = False
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(work, docs.schema)
+    return rows.mapInArrow(work, rows.schema)
