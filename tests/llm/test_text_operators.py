@@ -7,8 +7,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from horncast.llm import decontaminate, language_id, near_dup, quality_crf, textkern
+from horncast.llm import common, decontaminate, language_id, near_dup, quality_crf, textkern
+from horncast.llm.queries import QUERIES
 
+SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -324,11 +326,50 @@ def test_language_of_held_out_texts_and_of_unknown_words(spark):
 
 def test_back_off_takes_the_longest_known_grams():
     model = language_id.Model(["a", "b"], np.log([0.5, 0.5]), {"known": 0}, {"wxyz"[:2]: 1, "q": 2}, np.array([[-1, -9], [-2, -8], [-3, -7]], np.float32))
-    model.start()
     assert model.back_off("wx") == (1,) and model.back_off("q") == (2,) and model.back_off("qq") == (2, 2) and model.back_off("zz") == ()
-    assert model.judge("known")[0] == "a" and model.judge("wx wx 12 ²")[0] == "a"
-    lang, score = model.judge("known qq zz wxq")  # log odds 8, then 4, none, and 6 (of wx, since no longer gram of wxq is known)
-    assert lang == "a" and score == pytest.approx(1 / (1 + np.exp(-18)))
+    memo: dict = {}
+    langs, scores = model.judge(pa.array(["known", "wx wx 12 ²", None, "12 ²", "known qq zz wxq"]), memo)
+    assert langs == ["a", "a", "und", "und", "a"] and scores[2:4].tolist() == [0.0, 0.0]
+    # Log odds 8, then 4, none, and 6 (of wx, since no longer gram of wxq is known).
+    assert scores[4] == pytest.approx(1 / (1 + np.exp(-18))) and set(memo) == {"wx", "qq", "zz", "wxq"}
+
+
+def plain_judge(model, text):
+    """The back-off, word by word."""
+    total, letters = model.prior.copy(), False
+    for w in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split():
+        letters = True
+        if w in model.words:
+            total = total + model.table[model.words[w]]
+            continue
+        for n in (4, 3, 2, 1):
+            padded = f"\x02{w}\x03" if n > 1 else w
+            known = [model.grams[g] for g in (padded[i : i + n] for i in range(len(padded) - n + 1)) if g in model.grams]
+            if known:
+                total = total + model.table[known].mean(axis=0, dtype=np.float64)
+                break
+    return model.langs[int(np.argmax(total))] if letters else "und"
+
+
+def test_query_judges_as_a_plain_back_off_does(spark):
+    """op5 over the whole table, against the same model applied word by word, and on its held-out third."""
+    docs = common.read(spark, SF, "documents")
+    held = quality_crf.held_out("doc_id", 3, 1)
+    model = language_id.train(docs.where(~held))
+    got = {r["doc_id"]: r for r in QUERIES["op5_word_first_language"](spark, SF).collect()}
+    rows = docs.select("doc_id", "text", "lang", held.alias("held_out")).collect()
+    assert len(rows) == len(got) and all(got[r["doc_id"]]["lang_pred"] == plain_judge(model, r["text"]) and got[r["doc_id"]]["held_out"] == r["held_out"] for r in rows)
+    right = [got[r["doc_id"]]["lang_pred"] == r["lang"] for r in rows if r["held_out"] and r["lang"] and got[r["doc_id"]]["lang_pred"] != "und"]
+    assert np.mean(right) > 0.95
+
+
+def test_long_texts_are_judged_in_pieces(spark, monkeypatch):
+    model = language_id.train(language_rows(spark))
+    texts = pa.array(["the and of with " * 50, None, "der die und " * 40 + "x" * 99, "", "12"])
+    whole = model.judge(texts, {})
+    monkeypatch.setattr(language_id, "PIECE", 64)
+    cut = model.judge(texts, {})
+    assert whole[0] == cut[0] == ["en", "und", "de", "und", "und"] and np.allclose(whole[1], cut[1], atol=1e-6)
 
 
 def test_language_of_odd_texts(spark):
@@ -343,4 +384,14 @@ def test_language_of_odd_texts(spark):
 def test_language_training_is_bounded_and_repeatable(spark):
     docs = language_rows(spark)
     a, b = (language_id.train(docs.repartition(n), train_docs=40, words=10, n_grams=15) for n in (1, 6))
-    assert len(a.words) + len(a.grams) <= 25 and a.words == b.words and np.array_equal(a.table, b.table)
+    assert 10 < len(a.words) <= 30 and len(a.grams) <= 45 and a.words == b.words and np.array_equal(a.table, b.table)
+
+
+def test_a_rare_language_keeps_its_words(spark):
+    """Three documents of one language beside many of others: the cut is for each language, and copies count once."""
+    docs = language_rows(spark).where("lang != 'fr'")
+    docs = docs.unionByName(docs_of(spark, ["le la les et des"] * 3, 1000).withColumn("lang", F.lit("fr")))
+    model = language_id.train(docs, words=12, n_grams=200)
+    assert {"le", "la", "les", "et", "des"} <= set(model.words)
+    assert model.prior[model.langs.index("fr")] == pytest.approx(np.log(1 / (1 + docs.where("lang != 'fr'").select("text").distinct().count())))
+    assert language_id.identify(docs_of(spark, ["les des la"]), model).first()["lang_pred"] == "fr"
