@@ -67,7 +67,7 @@ def op6_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(
         docs.select("doc_id", "source", common.word_count(F.col("text")).alias("words")), F.col("words"), weights=MIX_WEIGHTS, max_repeats=MIX_REPEATS, shards=SHARDS
     )
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "shard_taken")
 
 
 def op7_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Dealt operators on archives, mixtures, shards, urls, chats and vectors: brute force, round trips, odd cases."""
 
 import base64
+import gzip
 import hashlib
 import heapq
 import random
@@ -48,12 +49,12 @@ def test_archives_give_back_what_went_in(spark, least):
         want.append((str(i), "revisit" if again else "response", target, base64.b32encode(hashlib.sha1(body).digest()).decode(), len(body), str(first[html or ""]) if again else None))
     key = lambda r: tuple(map(str, r))
     assert sorted(rows, key=key) == sorted(want, key=key)
-    texts = {(r["record_id"], r["payload"]) for r in warc.restore(got).collect()}
-    assert texts == {(str(i), html or "") for i, _, html in PAGES}
+    texts = {(r["record_id"], bytes(r["payload"])) for r in warc.restore(got).collect()}
+    assert texts == {(str(i), (html or "").encode()) for i, _, html in PAGES}
 
 
 def test_damaged_archives_are_refused():
-    good = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Payload-Digest: sha1:%s\r\nWARC-Payload-Length: 1\r\nContent-Length: 5\r\n\r\n\r\n\r\nx\r\n\r\n"
+    good = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Payload-Digest: sha1:%s\r\nWARC-Payload-Length: 1\r\nContent-Type: application/http\r\nContent-Length: 5\r\n\r\n\r\n\r\nx\r\n\r\n"
     digest = base64.b32encode(hashlib.sha1(b"x").digest())
     assert [r[0] for r in warc.Parser().feed(good % digest)] == ["1"]
     for bad in (good % digest[::-1], (good % digest).replace(b"WARC/1.1", b"HTTP/1.1"), (good % digest).replace(b"Length: 5", b"Length: 4")):
@@ -73,6 +74,39 @@ def test_parser_takes_any_pieces(spark):
         assert len(found) == data.count(b"WARC-Type:") and not parser.held
 
 
+def foreign(kind, body, more=b"", type_=b"text/plain"):
+    return b"WARC/1.0\r\nwarc-type: %s\r\nWARC-Record-ID: <urn:uuid:%s-%d>\r\n%sContent-Type: %s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (kind, kind, len(body), more, type_, len(body), body)
+
+
+def test_foreign_archives(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n2;x=1\r\nde\r\n0\r\n\r\n"
+    digest = base64.b32encode(hashlib.sha1(b"abcde").digest())
+    records = [
+        foreign(b"warcinfo", b"software: x\r\n"), foreign(b"response", http, b"WARC-Payload-Digest: sha1:%s\r\n" % digest.lower(), b"application/http; msgtype=response"),
+        foreign(b"revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", b"WARC-Refers-To: <urn:uuid:1>\r\nWARC-Target-URI:\r\n http://a\r\n", b"application/http"), foreign(b"resource", b"\xff\x00" * 200_000), foreign(b"metadata", b"", b"WARC-Payload-Digest: md5:00\r\n"),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records * 40) + b"\0" * 9)  # a member for each record
+    (tmp_path / "b.warc").write_bytes(b"".join(records))
+    got = warc.read_archive(spark, str(tmp_path)).collect()
+    assert Counter(r["record_type"] for r in got) == dict.fromkeys(("warcinfo", "response", "revisit", "resource", "metadata"), 41)
+    one = {r["record_type"]: r for r in got}
+    assert bytes(one["response"]["payload"]) == b"abcde" and one["response"]["payload_bytes"] == 5 and one["response"]["payload_digest"] == digest.decode().lower()
+    assert (one["revisit"]["payload"], one["revisit"]["refers_to"], one["revisit"]["url"], one["revisit"]["payload_bytes"]) == (None, "urn:uuid:1", "http://a", None)
+    assert bytes(one["resource"]["payload"]) == b"\xff\x00" * 200_000 and one["metadata"]["payload_digest"] == "md5:00"
+    whole = b"".join(gzip.compress(r) for r in records)
+    for bad in (whole[:-30], whole + b"more", whole + gzip.compress(b"WARC/1.0\r\nContent-Length: 9\r\n\r\nx")):
+        (tmp_path / "a.warc.gz").write_bytes(bad)
+        with pytest.raises(Exception, match="archive"):
+            warc.read_archive(spark, str(tmp_path)).count()
+
+
+def test_ids_of_other_types(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)  # the way for very many originals
+    rows = [("a b>\r\nX: 1", "u", "same"), ("é%", "u", "same"), ("c", "u", "other"), ("c2", "u", "other"), ("c", "u", "other")]
+    got = warc.read_archive(spark, warc.write_archive(spark.createDataFrame(rows, "page_id string, url string, html string"))).collect()
+    assert sorted((r["record_id"], r["refers_to"] or "") for r in got) == sorted([(rows[0][0], ""), ("é%", rows[0][0]), ("c", ""), ("c", ""), ("c2", "c")])
+
+
 def test_empty_archive(spark):
     assert warc.read_archive(spark, warc.write_archive(pages_of(spark, []))).count() == 0
 
@@ -113,28 +147,81 @@ def mix_rows(seed=0, n=400):
     return [(i, " ".join("w" for _ in range(rng.choice((0, 1, 5, 40, 300)))) if rng.random() > 0.02 else None, names[min(8, int(rng.expovariate(0.5)))]) for i in range(n)]
 
 
+def brute_selection(docs, targets, sizes, hashes, block, shards, seed=17):
+    """{row: (taken by each shard, copies)}: blocks are lists of (row, token), dealt to the shards one after the other."""
+    per_shard = max(1, sum(sizes.values()) // (shards * block))
+    order = sorted(targets, key=lambda s: (s is None, (s or "").encode("utf-32-be")))
+    before, quotas = dict.fromkeys(order, 0), []
+    for j in range(shards):
+        seats = brute_seats({s: targets[s] for s in order}, (j + 1) * per_shard)
+        quotas.append({s: seats[s] - before[s] for s in order})
+        before = seats
+    assert all(sum(q.values()) == per_shard and min(q.values()) >= 0 for q in quotas)
+    out = {}
+    for s in order:
+        line = [(k, t) for k in sorted((k for k in range(len(docs)) if docs[k][2] == s), key=lambda k: hashes[k]) for t in range(docs[k][1])]
+        blocks = [line[i : i + block] for i in range(0, len(line), block)]
+        n, primes = len(line) // block, mixing.next_primes((1 << 25) + seed * 64, 3)
+        step, first = next((p for p in primes if n and n % p), 1), hashes["first", s] % n if n else 0
+        drawn = sorted(range(n), key=lambda b: (b * step + first) % n) + list(range(n, len(blocks)))
+        tokens = [x for _ in range(3) for b in drawn for x in blocks[b]][: round(targets[s])]
+        ends = np.cumsum([q[s] * block for q in quotas])
+        for i, (k, t) in enumerate(tokens):
+            shard = min(shards - 1, int(np.searchsorted(ends, i, side="right")))
+            row = out.setdefault(k, ([0] * shards, [0]))
+            row[0][shard] += 1
+            row[1][0] += t == docs[k][1] // 2
+    return {k: (tuple(out[k][0]), out[k][1][0]) if k in out else ((0,) * shards, 0) for k in range(len(docs))}
+
+
+@pytest.mark.parametrize("block, shards", [(64, 4), (7, 5), (100_000, 3)])
+def test_selection_is_that_of_whole_blocks_drawn_by_quota(spark, block, shards):
+    rows = [(i, t, s) for i, t, s in mix_rows()]
+    docs = docs_of(spark, rows)
+    got = {r["doc_id"]: r for r in mixing.mix_sources(docs.repartition(5), common.word_count(F.col("text")), shards=shards, block_tokens=block).collect()}
+    plain = [(i, len((t or "").split()), s) for i, t, s in rows]
+    sizes = defaultdict(int)
+    for _, n, s in plain:
+        sizes[s] += n
+    hashes = {r["doc_id"]: (r["h"], r["doc_id"]) for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(17)).alias("h")).collect()}
+    for r in docs.select("source", F.xxhash64(F.coalesce("source", F.lit("")), F.lit(18)).alias("h")).distinct().collect():
+        hashes["first", r["source"]] = r["h"]
+    block = min(block, sum(sizes.values()) // shards)
+    want = brute_selection(plain, brute_targets(sizes, (5, 2, 1), 3), sizes, hashes, block, shards)
+    assert {i: (tuple(r["shard_taken"]), r["copies"]) for i, r in got.items()} == want
+    assert all(r["taken"] == sum(r["shard_taken"]) for r in got.values())
+
+
 def test_targets_quotas_and_taken_words(spark):
     rows = mix_rows() + [(7, "again " * 50, "a"), (7, "again " * 50, "a"), (None, "no id", "b")]
     docs = docs_of(spark, rows).repartition(3)
-    got = mixing.mix_sources(docs, common.word_count(F.col("text")), shards=4, blocks_per_shard=512).collect()
+    mix = lambda d: mixing.mix_sources(d, common.word_count(F.col("text")), shards=4, block_tokens=64)
+    got = mix(docs).collect()
     assert len(got) == len(rows)
     sizes = defaultdict(int)
     for _, t, s in rows:
         sizes[s] += len((t or "").split())
     targets = brute_targets(sizes, (5, 2, 1), 3)
-    taken, whole = Counter(), Counter()
+    taken, whole, of_shard = Counter(), Counter(), Counter()
     for r in got:
         assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(targets[r["source"]])
         assert 0 <= r["taken"] <= 3 * r["size"] and r["size"] == len((r["text"] or "").split())
-        assert (r["copies"] == 0) if not r["size"] else abs(r["copies"] * r["size"] - r["taken"]) <= r["size"]
+        assert r["copies"] <= 3 and (r["taken"] == 0) == (sum(r["shard_taken"]) == 0)
         taken[r["source"]] += r["taken"]
         whole[r["source"]] += r["copies"] * r["size"]
-    block = sum(sizes.values()) / (4 * 512)
+        for j, n in enumerate(r["shard_taken"]):
+            of_shard[r["source"], j] += n
+    for s, t in targets.items():
+        assert taken[s] == round(t) and abs(whole[s] - t) <= 3 * 300
+    # Quotas bind: every shard but the last draws whole blocks of every source, as many as it has seats.
+    per_shard = sum(sizes.values()) // (4 * 64)
     for s, t in targets.items():
-        assert abs(taken[s] - t) <= 2 * block + 1 and abs(whole[s] - t) <= 2 * 300 + 2 * block
-    again = mixing.mix_sources(docs.repartition(7), common.word_count(F.col("text")), shards=4, blocks_per_shard=512).collect()
-    key = lambda r: (str(r["doc_id"]), r["size"], r["taken"])
-    assert sorted(map(key, got)) == sorted(map(key, again))
+        for j in range(3):
+            assert of_shard[s, j] % 64 == 0 or of_shard[s, j + 1] == 0
+    for j in range(3):
+        assert abs(sum(of_shard[s, j] for s in targets) - 64 * per_shard) <= 64 * len(targets)
+    key = lambda r: (str(r["doc_id"]), r["size"], r["taken"], r["shard_taken"])
+    assert sorted(map(key, got)) == sorted(map(key, mix(docs.repartition(7)).collect()))
 
 
 @pytest.mark.parametrize("targets", [[5.0, 2.0, 1.0], [1.0], [100.0, 1.0, 1.0, 1.0, 0.0], [3.3, 3.3, 3.3], [0.0, 0.0], [7.0 + i % 5 for i in range(40)]])
@@ -158,7 +245,7 @@ def test_quotas_fill_every_shard(spark):
 
 
 def test_a_tiny_source_beside_a_huge_one_gets_its_target(spark):
-    rows = [(i, "huge", 20_000_000 + i) for i in range(200)] + [(1000 + i, "large", 10_000_000) for i in range(200)]
+    rows = [(i, "huge", 2_000_000 + i) for i in range(20)] + [(1000 + i, "large", 200_000) for i in range(20)]
     rows += [(2000 + i, None, 7 + i) for i in range(10)] + [(3000, "one", 1), (3001, "two", 90_001)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, n long")
     got = mixing.mix_sources(docs, F.col("n")).collect()
@@ -168,7 +255,7 @@ def test_a_tiny_source_beside_a_huge_one_gets_its_target(spark):
     targets = brute_targets(sizes, (5, 2, 1), 3)
     for r in got:
         taken[r["source"]] += r["taken"]
-    assert all(abs(taken[s] - t) <= 4 for s, t in targets.items()), (taken, targets)
+    assert all(abs(taken[s] - t) <= 0.5 for s, t in targets.items()), (taken, targets)
     assert all(r["copies"] == 3 for r in got if r["source"] in ("one", "two")) and all(r["copies"] >= 2 for r in got if r["source"] is None)
 
 
