@@ -14,10 +14,13 @@ and texts: a backslash is doubled, and the first character of a control string b
 Turns are sorted within a partition by conversation and turn and streamed: a conversation is put together
 from its rows as they come, whatever batch they are in; memory holds one conversation's output only.
 
-Defined results: a null role or text is empty; a null conversation id is a conversation of its own; turns
-with equal numbers are ordered by role, then by parts (nulls first), and repeated turns all stay; an empty
-table gives an empty result.  ``spans`` are the code-point ranges of the output under the loss mask: the
-contents of the turns of ``learn_roles``.
+Defined results: a null role or text is empty; a null part is left out; a row with a null conversation id is a
+conversation of its own, so that such rows meet in no task; turns with equal numbers are ordered by role, then
+by parts (nulls first), and repeated turns all stay; an empty table gives an empty result.  A part of a kind
+that is not known is kept as an attachment of its kind, with the placeholder ``<|other:n|>``.  Sizes, seconds
+and pages that are null, negative or not a number count as none, so a placeholder costs ``Costs.least`` tokens;
+token counts end at ``MOST_TOKENS``.  ``spans`` are the code-point ranges of the output under the loss mask: the
+contents of the turns of ``learn_roles``.  Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +38,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import by_value
+from .common import Shielded, by_value
 
+#: A count of tokens is no larger, nor is the sum of a conversation's, so that it is always a long.
+MOST_TOKENS = 2**62
 TURN, END, BREAK = "<|turn|>", "<|end|>", "\n"
 #: What would be read as control by this or another chat template begins with one of these.
 CONTROL = re.compile(r"\\|<(?=\||/?s>|/?unk>|/?pad>|<SYS>>|</SYS>>|start_of_turn>|end_of_turn>)|\[(?=/?INST\]|/?AVAILABLE_TOOLS\]|/?TOOL_RESULTS\]|TOOL_CALLS\])")
@@ -82,28 +87,30 @@ class Visitor:
 
     def visit(self, part: dict) -> str:
         kind = part.get("kind") or "text"
-        method: Callable | None = getattr(self, f"visit_{kind}", None)
-        if method is None:
-            raise ValueError(f"unknown kind of content: {kind}")
-        return method(part)
+        return {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}.get(kind, self.visit_other)(part)
 
     def visit_text(self, part: dict) -> str:
         return escape(part.get("text") or "")
 
     def visit_image(self, part: dict) -> str:
-        side = lambda n: math.ceil((n or 0) / self.costs.patch)
+        side = lambda n: -(-max(0, n or 0) // self.costs.patch)
         return self.attach("image", part, side(part.get("width")) * side(part.get("height")))
 
     def visit_audio(self, part: dict) -> str:
-        return self.attach("audio", part, math.ceil((part.get("seconds") or 0.0) * self.costs.tokens_a_second))
+        tokens = (part.get("seconds") or 0.0) * self.costs.tokens_a_second
+        return self.attach("audio", part, math.ceil(min(tokens, MOST_TOKENS)) if tokens > 0 else 0)  # not a number: 0
 
     def visit_document(self, part: dict) -> str:
         return self.attach("document", part, (part.get("pages") or 0) * self.costs.tokens_a_page)
 
-    def attach(self, kind: str, part: dict, tokens: int) -> str:
+    def visit_other(self, part: dict) -> str:
+        return self.attach(part["kind"], part, 0, "other")
+
+    def attach(self, kind: str, part: dict, tokens: int, sign: str | None = None) -> str:
         n = len(self.attachments)
-        self.attachments.append({"n": n, "kind": kind, "ref": part.get("ref"), "turn": self.turn, "tokens": max(self.costs.least, tokens)})
-        return f"<|{kind}:{n}|>"
+        tokens = min(max(self.costs.least, tokens), MOST_TOKENS)
+        self.attachments.append({"n": n, "kind": kind, "ref": part.get("ref"), "turn": self.turn, "tokens": tokens})
+        return f"<|{sign or kind}:{n}|>"
 
 
 def merged(parts: list[dict | None]) -> Iterator[dict]:
@@ -136,7 +143,7 @@ class Conversation:
 
     def row(self) -> tuple:
         found = self.visitor.attachments
-        return self.key, "".join(self.pieces), self.visitor.turn, self.length, self.spans, found, sum(a["tokens"] for a in found)
+        return self.key, "".join(self.pieces), self.visitor.turn, self.length, self.spans, found, min(sum(a["tokens"] for a in found), MOST_TOKENS)
 
 
 def format_conversations(
@@ -145,9 +152,14 @@ def format_conversations(
 ) -> DataFrame:
     """One row for each conversation: its id, then ``OUT``.  ``parts`` is an array of structs with fields of ``PART``."""
     by_value()
-    rows = turns.select(turns[conversation].alias("_key"), turns[turn].alias("_turn"), turns[role].alias("_role"), parts.alias("_parts"))
-    dealt = rows.repartition("_key").sortWithinPartitions("_key", "_turn", "_role", F.to_json("_parts"))
-    key_field = turns.schema[conversation]
+    held = Shielded(turns)
+    named = turns.select("*", parts).toDF(*held.rows.columns, "_parts")
+    key, at, said_by = (F.col(held.of(c)) for c in (conversation, turn, role))
+    # Rows without a conversation are dealt by what they say.
+    alone = F.when(key.isNull(), F.xxhash64(at, said_by, F.to_json("_parts"))).otherwise(0)
+    rows = named.select(key.alias("_key"), at.alias("_turn"), said_by.cast("string").alias("_role"), "_parts", alone.alias("_alone"))
+    dealt = rows.repartition("_key", "_alone").sortWithinPartitions("_key", "_alone", "_turn", "_role", F.to_json("_parts")).drop("_alone")
+    key_field = rows.schema["_key"]
     schema = T.StructType([T.StructField(conversation, key_field.dataType), *T.StructType.fromDDL(OUT).fields])
     arrow = to_arrow_schema(schema)
 
@@ -161,7 +173,7 @@ def format_conversations(
             keys, roles, all_parts = batch.column(0), batch.column(2), batch.column(3)
             for i in range(batch.num_rows):
                 key = keys[i].as_py()
-                if now is None or key != now.key:
+                if now is None or key is None or key != now.key:
                     if now is not None:
                         done.append(now)
                         size += now.length
@@ -204,8 +216,8 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 def digests(formatted: DataFrame, conversation: str) -> DataFrame:
     """What can be read back from the output: turns from the template, learned text from the loss mask."""
     by_value()
-    kind = formatted.schema[conversation].dataType.simpleString()
-    ddl = f"{conversation} {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+    found = T.StructType.fromDDL("n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    schema = T.StructType([formatted.schema[conversation], *found.fields])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,7 +236,7 @@ def digests(formatted: DataFrame, conversation: str) -> DataFrame:
             types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(c, t) for c, t in zip(out, types, strict=True)]],
-                names=[conversation, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
+                names=schema.names,
             )
 
-    return formatted.select(conversation, "formatted", "spans").mapInArrow(work, ddl)
+    return formatted.select(F.col(f"`{conversation}`"), "formatted", "spans").mapInArrow(work, schema)
