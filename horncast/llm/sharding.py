@@ -10,7 +10,8 @@ fractional rank, each with prefix sums of bucket counts (``common.ranked``).
 
 Defined results: a null source is a stratum of its own; a null text has size 1 and the checksum of no byte,
 0; rows that agree in everything share their places in any order; an empty table gives an empty result.
-Columns that clash with a new one are replaced.  Equal texts are not kept together: the law is on rows.
+``carry`` names columns of the input that the result has; a column called as a new one is not carried, other
+names are free.  Equal texts are not kept together: the law is on rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RANK_BLOCK_ROWS, group_key, ranked, settle, text_bytes
+from .common import RANK_BLOCK_ROWS, Shielded, group_key, ranked, settle, text_bytes
 
 NEW = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
@@ -27,14 +28,17 @@ def shard_interleaved(
     docs: DataFrame, shards: int, *, source: str = "source", text: str = "text", id_column: str = "doc_id", seed: int = 29, carry: list[str] | None = None
 ) -> DataFrame:
     """(carried columns, size, text_crc32, law, shard, slot, grown_shard); ``carry``: the id only, unless named."""
-    keep = [c for c in ([id_column] if carry is None else carry) if c not in NEW]
-    rows = docs.select(
-        *[docs[c] for c in keep],
-        (text_bytes(docs[text]) + 1).alias("size"),
-        F.coalesce(F.crc32(docs[text]), F.lit(0)).cast("long").alias("text_crc32"),
-        group_key(docs[source]).alias("_stratum"),
-        docs[id_column].alias("_id"),
-        F.xxhash64(docs[id_column], F.lit(seed)).alias("_hash"),
+    held, wanted = Shielded(docs), [id_column] if carry is None else carry
+    wanted = [c for c in wanted if c.lower() not in NEW]
+    keep = list(dict.fromkeys(held.of(c) for c in wanted))
+    said, key = F.col(held.of(text)), F.col(held.of(id_column))
+    rows = held.rows.select(
+        *keep,
+        (text_bytes(said) + 1).alias("size"),
+        F.coalesce(F.crc32(said), F.lit(0)).cast("long").alias("text_crc32"),
+        group_key(F.col(held.of(source))).alias("_stratum"),
+        key.alias("_id"),
+        F.xxhash64(key, F.lit(seed)).alias("_hash"),
         F.lit(1).cast("long").alias("_one"),
     )
     strata = settle(rows.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_rows")), "strata")
@@ -52,8 +56,6 @@ def shard_interleaved(
     line = ranked(rows, [], "_span", tie, "_one", "_place")
     # Shard i begins at place floor(i * total / shards).
     shard = F.expr(f"((_place + 1) * {int(shards)} - 1) div {max(1, total)}")
-    return line.select(*keep, "size", "text_crc32", F.lit("rows").alias("law"), shard.cast("int").alias("shard"), "_place").select(
-        *keep, "size", "text_crc32", "law", "shard",
-        (F.col("_place") - F.expr(f"(cast(shard as bigint) * {total}) div {int(shards)}")).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
+    line = line.withColumns({"law": F.lit("rows"), "shard": shard.cast("int"), "grown_shard": F.lit(None).cast("int")})
+    slot = F.col("_place") - F.expr(f"(cast(shard as bigint) * {total}) div {int(shards)}")
+    return held.restore(line.withColumn("slot", slot.cast("long")), NEW, wanted)
