@@ -7,18 +7,21 @@ small enough); every row of the table is then put into its leaf.
 
 A query walks the tree best bin first: a priority queue holds the children passed over, by distance to
 their centres; the next leaf is below the nearest of them.  How many leaves a query visits is calibrated:
-``CALIBRATION`` queries are searched exactly over all rows, and visits are widened until the mean recall at
-k reaches ``TARGET_RECALL``; a query also goes on until it has seen more than k rows.
+``CALIBRATION`` queries are searched exactly over all rows; visits are widened until the share ``SURE`` of them
+finds at least ``TARGET_RECALL`` of its k nearest, each by itself, and all of them together ``MEAN_RECALL``.
+The number is chosen on one half of these queries and widened further if the other half, which had no part in
+the choice, falls short of it.  A query also goes on until it has seen more than k ids.
 
 Leaves are met in blocks of at most about ``BLOCK_ROWS`` rows and as many queries, dealt by hash, so a leaf
 that holds a third of all rows (copies of one vector) is many groups.  Each group is one matrix product in
 double precision that chooses candidates; their scores are summed afresh in one fixed order, so that equal
-vectors have equal scores.  A group returns at most k rows a query.
+vectors have equal scores.  A group returns at most k ids a query.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or have another dimension
-than most, take no part, nor do rows with a null id.  A query's own row is any row with its id.  Equal
-scores are ranked by smaller id.  A query gets fewer than k rows only if there are fewer candidates; an
-empty table gives an empty result.
+than most, take no part, nor do rows with a null id.  Rows that share an id are one candidate, with the best
+of their scores, and one query, with the least of their vectors; a query's own rows are all rows with its id.
+Equal scores are ranked by smaller id.  A query gets fewer than k rows only if there are fewer candidates; an
+empty table gives an empty result.  Other columns of the input may have any name.
 """
 
 from __future__ import annotations
@@ -32,12 +35,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_value, settle
+from .common import Shielded, by_value, revive, settle, share
 
 FIT_ROWS, BRANCHES = 20_000, 8
 LEAF_ROWS, MAX_LEAVES = 4000, 2048
 BLOCK_ROWS = 4096
-CALIBRATION, TARGET_RECALL = 128, 0.96
+#: Queries with known answers; the recall each is to reach, the share of them that has to, and the recall of all.
+CALIBRATION, TARGET_RECALL, SURE, MEAN_RECALL = 256, 0.9, 0.98, 0.96
 
 
 @dataclass
@@ -147,19 +151,25 @@ def fit_tree(sample: np.ndarray, top: float, leaves: int, seed: int = 5) -> Tree
 
 
 def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query position, row position, score) of the k best rows of each query; ties to smaller ids."""
+    """(query position, row position, score) of the k best ids of each query; ties to smaller ids."""
     at_q, at_x, score = [], [], []
+    order = np.argsort(ids, kind="stable")
+    starts = np.flatnonzero(np.append(True, ids[order][1:] != ids[order][:-1])) if len(ids) else np.zeros(0, np.int64)
+    repeated = len(starts) < len(ids)
     for a in range(0, len(q), 512):
         rough = q[a : a + 512] @ x.T
         rough[q_ids[a : a + 512, None] == ids[None, :]] = -np.inf
         for i, r in enumerate(rough, start=a):
-            floor = -np.inf
-            if len(r) > k:
-                kth = np.partition(r, len(r) - k)[len(r) - k]
+            best, floor = np.maximum.reduceat(r[order], starts) if repeated else r, -np.inf  # of each id
+            if len(best) > k:
+                kth = np.partition(best, len(best) - k)[len(best) - k]
                 floor = kth - 1e-9 * (1.0 + abs(kth)) if np.isfinite(kth) else -np.inf
             near = np.flatnonzero((r >= floor) & (r > -np.inf))
             exact = (x[near] * q[i]).sum(axis=1)
-            top = np.lexsort((ids[near], -exact))[:k]
+            top = np.lexsort((ids[near], -exact))
+            if repeated:
+                top = top[np.sort(np.unique(ids[near][top], return_index=True)[1])]
+            top = top[:k]
             at_q.append(np.full(len(top), i))
             at_x.append(near[top])
             score.append(exact[top])
@@ -167,6 +177,13 @@ def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k:
     return join(at_q, np.int64), join(at_x, np.int64), join(score, np.float64)
 
 
+def top_ids(found: DataFrame, query: str, k: int) -> DataFrame:
+    """The k best (``id``, ``score``) of each query, with their rank; an id found twice counts once."""
+    once = found.groupBy(query, "id").agg(F.max_by(F.struct(*[c for c in found.columns if c not in (query, "id")]), "score").alias("of"))
+    order = Window.partitionBy(query).orderBy(F.desc("of.score"), "id")
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query, "id", "rank", "of.*")
+
+
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """A list column of equal lengths as a matrix of doubles."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -178,15 +195,15 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 def usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
     """(id, v) of the rows that take part."""
-    v = F.col("v")
+    v, held = F.col("v"), Shielded(vectors)
     sound = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != F.lit(float("inf")))) & F.exists("v", lambda e: e != 0)
-    rows = vectors.select(F.col(id_column).alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & v.isNotNull() & (F.size("v") > 0))
+    rows = held.rows.select(F.col(held.of(id_column)).cast("long").alias("id"), F.col(held.of(vector)).alias("v")).where(F.col("id").isNotNull() & v.isNotNull() & (F.size("v") > 0))
     rows = rows.where(sound)
     most = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
     return rows.where(F.size("v") == (most["d"] if most else 0))
 
 
-def search(vectors: DataFrame, is_query: Callable[[Column], Column], *, id_column: str = "vec_id", vector: str = "embedding", k: int = 20, target_recall: float = TARGET_RECALL, seed: int = 11) -> DataFrame:
+def search(vectors: DataFrame, is_query: Callable[[Column], Column], *, id_column: str = "vec_id", vector: str = "embedding", k: int = 20, seed: int = 11) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id ``is_query`` says yes to, the k nearest found."""
     by_value()
     rows = usable(vectors, id_column, vector)
@@ -195,23 +212,28 @@ def search(vectors: DataFrame, is_query: Callable[[Column], Column], *, id_colum
     n, empty = facts["n"], "query_id bigint, rank int, vec_id bigint, score double"
     if not n:
         return vectors.sparkSession.createDataFrame([], empty)
-    share = min(2**63 - 1, int(0.9 * FIT_ROWS / n * 2**63))
-    sample = rows.where(F.xxhash64("id", F.lit(seed)).bitwiseAND(F.lit(2**63 - 1)) <= share).limit(FIT_ROWS).orderBy("id").toArrow()
+    picked = min(2**63 - 1, int(0.9 * FIT_ROWS / n * 2**63))
+    mark = F.xxhash64("id", "v", F.lit(seed))
+    sample = rows.where(mark.bitwiseAND(F.lit(2**63 - 1)) <= picked).orderBy(mark, "id", "v").limit(FIT_ROWS).toArrow()
     points = matrix(sample.column("v")) if sample.num_rows else np.zeros((0, 1))
     tree = fit_tree(points, facts["top"], min(MAX_LEAVES, max(1, n // LEAF_ROWS, min(16, n // 64)))) if len(points) else Tree(facts["top"], leaves=1)
     shape, spark = rows.schema["v"].dataType.simpleString(), vectors.sparkSession
-    held = spark.sparkContext.broadcast(tree)
+    shared = share(spark, tree)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = revive(Tree, shared)
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held.value.assign(matrix(batch.column(1))))], names=["id", "v", "leaf"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held.assign(matrix(batch.column(1))))], names=["id", "v", "leaf"])
 
     placed = settle(rows.mapInArrow(place, f"id bigint, v {shape}, leaf int"), "placed")
     counts = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most MAX_LEAVES
-    seekers = placed.where(is_query(F.col("id"))).select("id", "v")
-    visits = calibrate(placed, seekers, tree, counts, k, target_recall)
-    pairs = settle(walks(seekers, tree, counts, visits, k, shape), "walks")
+    # Different ids of each leaf, an id in several of them counted in one: what a walk has seen at least.
+    homes = placed.groupBy("id").agg(F.min("leaf").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+    ids_of = {r["leaf"]: r["n"] for r in homes.collect()}
+    seekers = settle(placed.where(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v")), "seekers")
+    visits = calibrate(placed, seekers, tree, counts, k)
+    pairs = settle(walks(seekers, tree, counts, ids_of, visits, k, shape), "walks")
     asked = {r["leaf"]: r["n"] for r in pairs.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
     # Blocks of rows and of queries of each leaf; each side is repeated for the blocks of the other.
     blocks = [(leaf, -(-c // BLOCK_ROWS), -(-asked.get(leaf, 0) // BLOCK_ROWS)) for leaf, c in counts.items() if asked.get(leaf)]
@@ -226,22 +248,21 @@ def search(vectors: DataFrame, is_query: Callable[[Column], Column], *, id_colum
 
     def meet(have: pa.Table, ask: pa.Table) -> pa.Table:
         if not have.num_rows or not ask.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         ids, q_ids = have.column("id").to_numpy(), ask.column("query").to_numpy()
         at_q, at_x, score = best_of(q_ids, matrix(ask.column("v")), ids, matrix(have.column("v")), k)
-        return pa.table({"query_id": q_ids[at_q], "vec_id": ids[at_x], "score": score})
+        return pa.table({"query_id": q_ids[at_q], "id": ids[at_x], "score": score})
 
-    found = left.groupBy("leaf", "vb", "qb").cogroup(right.groupBy("leaf", "vb", "qb")).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = left.groupBy("leaf", "vb", "qb").cogroup(right.groupBy("leaf", "vb", "qb")).applyInArrow(meet, "query_id bigint, id bigint, score double")
+    return top_ids(found, "query_id", k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
-def walks(seekers: DataFrame, tree: Tree, counts: dict[int, int], visits: int, k: int, shape: str) -> DataFrame:
+def walks(seekers: DataFrame, tree: Tree, counts: dict[int, int], ids_of: dict[int, int], visits: int, k: int, shape: str) -> DataFrame:
     """(leaf, query, v): the leaves each query visits."""
-    held = seekers.sparkSession.sparkContext.broadcast((tree, counts))
+    shared, by_leaf = share(seekers.sparkSession, tree), seekers.sparkSession.sparkContext.broadcast((counts, ids_of))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, counts = held.value
+        tree, (counts, ids_of) = revive(Tree, shared), by_leaf.value
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -254,15 +275,24 @@ def walks(seekers: DataFrame, tree: Tree, counts: dict[int, int], visits: int, k
                     if counts.get(x):
                         leaf.append(x)
                         row.append(i)
-                        seen, went = seen + counts[x], went + 1
+                        seen, went = seen + ids_of.get(x, 0), went + 1
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), batch.column(0).take(at), batch.column(1).take(at)], names=["leaf", "query", "v"])
 
     return seekers.mapInArrow(work, f"leaf int, query bigint, v {shape}")
 
 
-def calibrate(placed: DataFrame, seekers: DataFrame, tree: Tree, counts: dict[int, int], k: int, target: float) -> int:
-    """The least number of visited leaves with which queries whose answers are known reach ``target`` recall."""
+def enough(needed: list[np.ndarray], k: int) -> int:
+    """Visits with which queries find their share; ``needed``: of each, in order, how many leaves it takes to see its nearest."""
+    each = sorted(int(n[min(len(n), int(np.ceil(TARGET_RECALL * len(n)))) - 1]) for n in needed if len(n))
+    if not each:
+        return 1
+    every = np.sort(np.concatenate(needed))
+    return max(each[int(np.ceil(SURE * len(each))) - 1], int(every[int(np.ceil(MEAN_RECALL * len(every))) - 1]))
+
+
+def calibrate(placed: DataFrame, seekers: DataFrame, tree: Tree, counts: dict[int, int], k: int) -> int:
+    """The least number of visited leaves with which queries whose answers are known find enough of them."""
     some = seekers.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(CALIBRATION).toArrow()
     if not some.num_rows or len(counts) < 2:
         return len(counts)
@@ -278,9 +308,12 @@ def calibrate(placed: DataFrame, seekers: DataFrame, tree: Tree, counts: dict[in
                 yield pa.RecordBatch.from_arrays([pa.array(at_q), pa.array(ids[at_x]), batch.column(2).take(pa.array(at_x)), pa.array(score)], names=["q", "id", "leaf", "score"])
 
     best = placed.mapInArrow(work, "q bigint, id bigint, leaf int, score double")
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    true = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q", "leaf").collect()  # CALIBRATION * k rows
-    lifted = tree.query(q)
-    place = [{leaf: i for i, leaf in enumerate(x for x in tree.walk(lifted[j]) if counts.get(x))} for j in range(len(q))]
-    needed = np.sort([place[r["q"]][r["leaf"]] + 1 for r in true])
-    return int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)]) if len(needed) else len(counts)
+    true = top_ids(best, "q", k).select("q", "leaf").collect()  # CALIBRATION * k rows
+    place = [{leaf: i for i, leaf in enumerate(x for x in tree.walk(v) if counts.get(x))} for v in tree.query(q)]
+    needed: list[list[int]] = [[] for _ in q_ids]
+    for r in true:
+        needed[r["q"]].append(place[r["q"]][r["leaf"]] + 1)
+    ordered = [np.sort(np.array(n, dtype=np.int64)) for n in needed]
+    half = len(ordered) // 2
+    # Chosen on one half; the other, which is new to it, may only widen it.
+    return max(enough(ordered[:half] or ordered, k), enough(ordered[half:], k))
