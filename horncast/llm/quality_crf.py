@@ -9,13 +9,14 @@ Labels are of documents, so lines are labelled in two steps: a line-by-line logi
 each document's label on all its lines; in bad documents, lines that this model finds good are relabelled
 good, but for the worst line.  Then the field is fitted by gradient ascent on the conditional likelihood.
 
-Fitting uses at most ``TRAIN_DOCS`` labelled documents (those with the least hash of their id), each with all
-its lines; one that would bring the lines of all to more than ``TRAIN_LINES`` is passed over as a whole.  This
-bounds what reaches the driver.  Scoring covers every line of every
+Fitting uses at most ``TRAIN_DOCS`` labelled documents (those with the least hash of their id; of rows that share
+an id, one, always the same), each with all its lines; one that would bring the lines of all to more than
+``TRAIN_LINES`` is passed over as a whole.  This bounds what reaches the driver.  Scoring covers every line of every
 text, on executors, with the fitted weights broadcast.
 
 Defined results: a null text, and one without a line that has a visible byte, has no line and scores 0.0.
-Without labelled documents of both kinds every other text scores 0.5.  Repeated rows score alike.
+Without labelled documents of both kinds every other text scores 0.5.  Repeated rows score alike.  A null id
+has no label.  Columns of the input are kept, whatever their names, but for those that are called as the new ones.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkern
-from .common import by_value
+from .common import Shielded, by_value, drop_scratch, revive, settle, share
 
 TRAIN_DOCS, TRAIN_LINES = 4000, 800_000
 EMPTY_SCORE = 0.0
@@ -239,9 +240,11 @@ def fit(own: np.ndarray, row: np.ndarray, size: np.ndarray, labels: np.ndarray,
 def train(docs: DataFrame, labels: DataFrame, *, id_column: str, text: str, label: str, train_docs: int = TRAIN_DOCS) -> Crf:
     """Fits on rows of ``docs`` whose id has a label in ``labels`` (id_column, label)."""
     by_value()
-    picked = labels.where(F.col(id_column).isNotNull() & F.col(label).isNotNull()).groupBy(id_column).agg(F.min(label).alias("_label"))
-    picked = picked.orderBy(F.xxhash64(id_column), id_column).limit(train_docs)  # bounds what is broadcast
-    sample = docs.select(F.col(id_column), F.col(text).alias("_text")).join(F.broadcast(picked), id_column)
+    held, known = Shielded(docs), Shielded(labels)
+    marked = known.rows.select(F.col(known.of(id_column)).alias("id"), F.col(known.of(label)).cast("int").alias("label")).where("id is not null and label is not null")
+    picked = marked.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(train_docs)  # bounds what is broadcast
+    rows = held.rows.select(F.col(held.of(id_column)).alias("id"), F.col(held.of(text)).alias("text"))
+    sample = rows.join(F.broadcast(picked), "id").select("label", "text", F.xxhash64("id").alias("order"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,20 +260,17 @@ def train(docs: DataFrame, labels: DataFrame, *, id_column: str, text: str, labe
                     out[3].append(batch.column(2)[first + r].as_py())
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int64())], names=["label", "own", "size", "at"])
 
-    made = sample.select(F.col("_label").cast("int"), "_text", F.xxhash64(id_column).alias("_order")).mapInArrow(work, "label int, own binary, size binary, at bigint")
-    held = made.limit(train_docs).withColumn("_mark", F.xxhash64("at", "label", "own", "size")).persist()
-    try:
-        # Whole documents only, as many as fit.
-        counts = held.groupBy("at", "_mark").agg(F.sum(F.expr("octet_length(size) div 4")).alias("n")).collect()
-        room, over = TRAIN_LINES, []
-        for at, mark, n in sorted(tuple(r) for r in counts):
-            if n > room:
-                over.append(mark)
-            else:
-                room -= n
-        rows = held.where(~F.col("_mark").isin(over)).collect() if over else held.collect()
-    finally:
-        held.unpersist()
+    made = sample.mapInArrow(work, "label int, own binary, size binary, at bigint")
+    # Of rows that share an id, the one with the least features; then whole documents only, as many as fit.
+    one = made.groupBy("at").agg(F.min(F.struct(F.xxhash64("label", "own", "size").alias("mark"), "label", "own", "size")).alias("of")).select("at", "of.*")
+    held_rows = settle(one, "lines")
+    room, kept = TRAIN_LINES, []
+    for at, n in sorted(map(tuple, held_rows.select("at", F.expr("octet_length(size) div 4")).collect())):
+        if n <= room:
+            kept.append(at)
+            room -= n
+    rows = held_rows.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in kept], "at bigint")), "at").collect()
+    drop_scratch(held_rows)
     rows = sorted(rows, key=lambda r: (bytes(r["own"]), r["label"]))  # the same model, whatever the order of partitions
     own = [np.frombuffer(r["own"], np.float32).reshape(-1, OWN).astype(np.float64) for r in rows]
     size = [np.frombuffer(r["size"], np.float32).astype(np.float64) for r in rows]
@@ -281,13 +281,12 @@ def train(docs: DataFrame, labels: DataFrame, *, id_column: str, text: str, labe
 def score_texts(docs: DataFrame, model: Crf, *, text: str = "text", score: str = "score", lines: str = "n_lines") -> DataFrame:
     """``docs`` with ``score`` and ``lines``, the number of its lines (replaced if they are there)."""
     by_value()
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in (score, lines)]
-    column = kept.index(text)
-    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(score, T.DoubleType()), T.StructField(lines, T.LongType())])
+    held, shared = Shielded(docs, (score, lines)), share(docs.sparkSession, model)
+    column = held.rows.columns.index(held.of(text))
+    schema = T.StructType([*held.rows.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(lines, T.LongType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crf = held.value
+        crf = revive(Crf, shared)
         for batch in batches:
             found, counts = [np.zeros(0)], [np.zeros(0, np.int64)]
             for _, data, offsets in textkern.slices(batch.column(column)):
@@ -295,9 +294,9 @@ def score_texts(docs: DataFrame, model: Crf, *, text: str = "text", score: str =
                 found.append(crf.score(crf.raw(own, row, size, len(offsets) - 1)))
                 counts.append(np.bincount(row, minlength=len(offsets) - 1))
             extra = [pa.array(np.concatenate(found)), pa.array(np.concatenate(counts).astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*kept, score, lines])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=schema.names)
 
-    return docs.select(*kept).mapInArrow(work, schema)
+    return held.restore(held.rows.mapInArrow(work, schema), (score, lines))
 
 
 def held_out(id_column: str, folds: int, fold: int) -> Column:
