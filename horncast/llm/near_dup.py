@@ -31,7 +31,8 @@ Defined results: one row per input row.  A null text is a class of its own (clas
 text without a word is equal only to texts that are the same character by character.  A text of one to four
 words has one shingle: all its words.  ``class_id`` is the least id among the rows of the class (ids may
 repeat or be null; nulls count only if there is no other).  ``keep`` marks one row of each class: the one
-with the least id, ties broken by a hash of all columns and then arbitrarily among equal rows.
+with the least id, ties broken by a hash of all columns and then arbitrarily among equal rows.  Columns of the input are
+kept, whatever their names, but for those that are called as the new ones.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkern
-from .common import by_value, drop_scratch, settle
+from .common import Shielded, by_value, drop_scratch, settle
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 30, 6
@@ -281,7 +282,9 @@ def near_duplicates(
 ) -> tuple[DataFrame, DataFrame]:
     """(membership, links): membership has (key, class_key, class_id, class_rows) for each distinct text, links
     the verified pairs (a, b) of keys.  Join membership to rows by ``text_key``."""
-    keyed = docs.select(text_key(docs[text]).alias("key"), docs[text].alias("text"), docs[id_column].alias("id")).where("text is not null")
+    held = Shielded(docs)
+    said = F.col(held.of(text))
+    keyed = held.rows.select(text_key(said).alias("key"), said.alias("text"), F.col(held.of(id_column)).alias("id")).where("text is not null")
     signed = settle(signatures(keyed, "text", shingle, bands, rows).groupBy("key").agg(F.first("bands").alias("bands")), "signed")
     spread = signed.select("key", F.explode("bands").alias("band"))
     # Tables of one row per key are written before they are joined, so that Spark can split a hot key's rows.
@@ -322,30 +325,32 @@ def with_classes(docs: DataFrame, *, text: str = "text", id_column: str = "doc_i
     """``docs`` with class_key, class_id, class_rows and class_texts (replaced if they are there)."""
     membership, _ = near_duplicates(docs, text=text, id_column=id_column, **how)
     new = ("class_key", "class_id", "class_rows", "class_texts")
-    kept = [c for c in docs.columns if c not in new]
-    rows = docs.select(*kept, text_key(docs[text]).alias("_near_key"))
-    out = rows.join(membership.withColumnRenamed("key", "_near_of"), F.col("_near_key") == F.col("_near_of"), "left")
-    alone = F.col("_near_of").isNull()
-    return out.select(
-        *kept, "class_key", F.when(alone, F.col(id_column)).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("class_rows", F.lit(1)).cast("long").alias("class_rows"), F.coalesce("class_texts", F.lit(1)).cast("long").alias("class_texts"),
-    )
+    held = Shielded(docs, new)
+    rows = held.rows.withColumn("of_key", text_key(F.col(held.of(text))))
+    out = rows.join(membership, F.col("of_key") == F.col("key"), "left")
+    alone = F.col("key").isNull()
+    out = out.withColumns({
+        "class_id": F.when(alone, F.col(held.of(id_column))).otherwise(F.col("class_id")),
+        "class_rows": F.coalesce("class_rows", F.lit(1)).cast("long"), "class_texts": F.coalesce("class_texts", F.lit(1)).cast("long"),
+    })
+    return held.restore(out, new)
 
 
 def deduplicate(docs: DataFrame, *, text: str = "text", id_column: str = "doc_id", **how) -> DataFrame:
     """One row of each class: the one with the least id.  Rows with a null text all stay."""
     membership, _ = near_duplicates(docs, text=text, id_column=id_column, **how)
     # The winner is chosen among narrow rows: (class, id, hash of the whole row).
-    rows = docs.select("*", text_key(docs[text]).alias("_near_key"), docs[id_column].alias("_near_id"), F.xxhash64(*[docs[c] for c in docs.columns]).alias("_near_row"))
-    of = membership.select(F.col("key").alias("_near_of"), F.col("class_key").alias("_near_class"))
-    narrow = rows.select("_near_key", "_near_id", "_near_row").join(of, F.col("_near_key") == F.col("_near_of"))
-    first = F.min(F.struct(F.col("_near_id").isNull().alias("none"), "_near_id", "_near_row", "_near_key")).alias("w")
-    won = settle(narrow.groupBy("_near_class").agg(first).select("w._near_key", "w._near_row", F.col("w._near_id").alias("_won_id")), "winners")
-    won = won.withColumnsRenamed({"_near_key": "_won_key", "_near_row": "_won_row"})
-    same = (F.col("_near_key") == F.col("_won_key")) & (F.col("_near_row") == F.col("_won_row")) & F.col("_near_id").eqNullSafe(F.col("_won_id"))
+    held = Shielded(docs)
+    said, key = F.col(held.of(text)), F.col(held.of(id_column))
+    rows = held.rows.select("*", text_key(said).alias("near_key"), key.alias("near_id"), F.xxhash64(*held.rows.columns).alias("near_row"))
+    of = membership.select(F.col("key").alias("near_of"), F.col("class_key").alias("near_class"))
+    narrow = rows.select("near_key", "near_id", "near_row").join(of, F.col("near_key") == F.col("near_of"))
+    first = F.min(F.struct(F.col("near_id").isNull().alias("none"), "near_id", "near_row", "near_key")).alias("w")
+    won = settle(narrow.groupBy("near_class").agg(first).select(F.col("w.near_key").alias("won_key"), F.col("w.near_row").alias("won_row"), F.col("w.near_id").alias("won_id")), "winners")
+    same = (F.col("near_key") == F.col("won_key")) & (F.col("near_row") == F.col("won_row")) & F.col("near_id").eqNullSafe(F.col("won_id"))
     kept = rows.join(won, same)
     # Rows that repeat a winner in every column: one of them stays.
-    twins = narrow.groupBy("_near_key", "_near_id", "_near_row").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twins = narrow.groupBy("near_key", "near_id", "near_row").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if not twins.isEmpty():
-        kept = kept.dropDuplicates(["_near_key"])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(docs[text].isNull()))
+        kept = kept.dropDuplicates(["near_key"])
+    return held.restore(kept.select(*held.rows.columns).unionByName(held.rows.where(said.isNull())))
