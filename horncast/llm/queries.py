@@ -85,6 +85,23 @@ def op8_typed_parts_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(formatted, "conv_id")
 
 
+#: Control strings are found from their first character on; none begins inside another.
+_CONTROL = r"\\|<(\||/?s>|/?unk>|/?pad>|<SYS>>|</SYS>>|start_of_turn>|end_of_turn>)|\[(/?INST\]|/?AVAILABLE_TOOLS\]|/?TOOL_RESULTS\]|TOOL_CALLS\])"
+OP8_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, length(role) + len(regexp_extract_all(role, '{_CONTROL}')) + len(regexp_extract_all(role, '\n'))
+    + length(text) + len(regexp_extract_all(text, '{_CONTROL}')) + length('<|turn|>') + length('<|end|>') + 2 AS chars FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
 def op9_bloom_cascade_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = common.read(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -130,4 +147,4 @@ QUERIES = {
     "op10_stratified_shards": op10_stratified_shards,
 }
 
-ORACLES = {"op3_warc_revisits": OP3_SQL, "op9_bloom_cascade_urls": OP9_SQL}
+ORACLES = {"op3_warc_revisits": OP3_SQL, "op8_typed_parts_chat": OP8_SQL, "op9_bloom_cascade_urls": OP9_SQL}

@@ -102,7 +102,8 @@ def test_stages_take_odd_documents(spark, k):
 def test_queries_with_sql(spark, name):
     got = QUERIES[name](spark, SF)
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
+    for table in ("pages", "conversations"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = con.sql(ORACLES[name])
     assert sorted(map(repr, map(tuple, got.select(*want.columns).collect()))) == sorted(map(repr, want.fetchall()))
 
