@@ -79,11 +79,12 @@ def snake(name: str) -> str:
 
 
 def member_relation(model: str, member_type: str) -> str:
-    return f"{snake(model)}_member_{snake(member_type)}"
+    return f"{snake(model)}_member_{snake(member_type.rsplit('.', 1)[-1])}"
 
 
 def apply_relation(member_type: str) -> str:
-    return f"{snake(member_type)}_mor_app"
+    """``el_mor_app``, or ``group_el_mor_app`` where the type's name needs its model."""
+    return f"{'_'.join(snake(x) for x in member_type.split('.'))}_mor_app"
 
 
 @dataclass
@@ -97,4 +98,9 @@ class Compiled:
     digest: str = ""
 
     def relation(self, name: str) -> Relation:
-        return self.relations[name]
+        """By name; ``Model.name`` also stands for a member whose name is unique."""
+        model, _, bare = name.rpartition(".")
+        found = self.relations.get(name) or (self.relations.get(bare) if model in self.models else None)
+        if found is None or (found.name != name and model not in (found.model, self.member_types.get(bare))):
+            raise KeyError(name)
+        return found
