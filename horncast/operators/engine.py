@@ -4,8 +4,9 @@ A round evaluates every rule that can see something new, in one job: each premis
 the last round's rows, atoms before it over all rows, atoms after it over the older ones.  All conclusions
 go into one table, tagged by relation, are made distinct, compared with what is known, and written by
 relation.  Equalities (asserted, or due to a function with two values for the same arguments) are merged to
-classes, and every relation with a column of a merged type is rewritten to roots; rewritten rows count as
-new.  When a round brings nothing, definitions are applied: for each argument tuple without a value a fresh
+classes, and rows that hold a merged element are rewritten to roots; rewritten rows count as new.  Small
+relations are written anew for that; of large ones only the rows touched are, beside a note that the old rows
+are void (see ``store``).  When a round brings nothing, definitions are applied: for each argument tuple without a value a fresh
 element is made.  The order of steps is that of ``close_until``'s docstring.
 """
 
@@ -24,6 +25,8 @@ from .store import Store
 
 #: Bytes of files: more is much to move for an anti join; less (compressed) is few enough to broadcast.
 MUCH_BYTES, FEW_BYTES = 256 << 20, 4 << 20
+#: Merged elements that are broadcast to large relations; steps between compactions of what is merged; notes a run may carry.
+FEW_MERGED, MERGE_STEPS, MOST_STALE = 200_000, 8, 6
 EQ = "="  # tag of equalities, before the type's name
 
 
@@ -42,12 +45,15 @@ class Engine:
         self.delta_defined: set[str] = set()  # and after ``defined``
         self.ran_empty = False
         self.next_id = {name: 0 for name, r in self.theory.relations.items() if r.kind == "type"}
-        self.merges: list[DataFrame] = []  # (tag, el, root), in order
+        self.merges: list[str] = []  # tables (tag, el, root), in order
+        self.loaded: set[str] = set()  # types of which ids came from outside since ``next_id`` was last right
         self.union: dict[str, components.UnionFind] = {}
         self.union_whole = True  # whether ``union`` has every merge
         self.rounds = 0
         self.plain = [r for r in self.theory.rules if not r.define]
         self.makers = [r for r in self.theory.rules if r.define]
+        #: type and membership tables that rules read
+        self.listed = {a.relation for r in self.theory.rules for a in r.premise if self.theory.relation(a.relation).kind in ("type", "member")}
 
     # Tables -------------------------------------------------------------------------------------
     def all_rows(self, relation: str) -> DataFrame:
@@ -174,32 +180,72 @@ class Engine:
             return
         path = f"{self.store.root}/merge-{self.gen:05d}"
         changed.write.parquet(path)
-        changed = self.spark.read.schema(changed.schema).parquet(path)
-        self.remember(changed)
+        changed = self.merge_table(path)
+        self.remember(path)
         touched = [n for n, r in self.theory.relations.items() if types & set(r.columns) and (self.store.runs[n] or n in tuples)]
-        moved = self.rewrite(touched, tuples, changed, types)
+        large = [n for n in touched if self.store.bytes(self.store.runs[n]) >= MUCH_BYTES]
+        if large and changed.limit(FEW_MERGED + 1).count() > FEW_MERGED:
+            large = []
+        moved = self.rewrite([n for n in touched if n not in large], tuples, changed, types)
+        moved |= self.replace(large, tuples, changed, types, path)
         for name, folder in tuples.items():
             if name not in touched:
                 self.store.add(name, folder, self.gen, self.gen)
         self.note(moved | (set(tuples) - set(touched)))
 
+    def merge_table(self, *paths: str) -> DataFrame:
+        return self.spark.read.schema("tag string, el bigint, root bigint").parquet(*paths)
+
+    def rooted(self, name: str, rows: DataFrame, changed: DataFrame, types: set[str], small: bool) -> DataFrame:
+        """``rows`` with merged elements replaced by their roots, and ``moved``, whether there were any."""
+        r, moved = self.theory.relation(name), F.lit(False)
+        for i, t in enumerate(r.columns):
+            if t in types:
+                to = changed.where(F.col("tag") == t).select(F.col("el").alias(f"_e{i}"), F.col("root").alias(f"_r{i}"))
+                rows = rows.join(F.broadcast(to) if small else to, F.col(f"c{i}") == F.col(f"_e{i}"), "left")
+                moved = moved | F.col(f"_r{i}").isNotNull()
+        cols = [F.coalesce(f"_r{i}", c).alias(c) if i < r.width and r.columns[i] in types else F.col(c) for i, c in enumerate(self.store.columns(name))]
+        return rows.select(*cols, "gen", moved.alias("moved"))
+
+    def replace(self, names: list[str], tuples: dict[str, str], changed: DataFrame, types: set[str], merge: str) -> set[str]:
+        """Large relations: only the rows that hold a merged element are written, over roots; the old ones become void."""
+        if not names:
+            return set()
+        keys = ["rel", *[f"c{i}" for i in range(self.store.width)]]
+        hit = []
+        for name in names:
+            cols = self.store.columns(name)
+            hit.append(self.store.wide(name, self.rooted(name, self.store.table(name), changed, types, True).where("moved"), cols, 0))
+            if name in tuples:
+                new = self.spark.read.schema(self.store.schema(name)).parquet(tuples[name])
+                hit.append(self.store.wide(name, self.rooted(name, new, changed, types, True), cols, 0))
+        rows = self.merged(hit).select(*keys).distinct()
+        old_runs = {n: list(self.store.runs[n]) for n in names}
+        for name in names:
+            for p in old_runs[name]:
+                self.store.stale[p] = [*self.store.stale.get(p, []), merge]
+        known = self.merged([self.store.wide(n, self.store.table(n), self.store.columns(n), 0).select(*keys) for n in names])
+        rows = self.unknown(rows, known, self.store.bytes([p for n in names for p in old_runs[n]]))
+        parts = self.store.write(rows.withColumn("gen", F.lit(self.gen).cast("long")))
+        for name, path in parts.items():
+            self.store.add(name, path, self.gen, self.gen)
+        for name in names:
+            if any(len(self.store.stale.get(p, ())) > MOST_STALE for p in self.store.runs[name]):
+                self.join_runs([name])
+        return set(parts)
+
     def rewrite(self, touched: list[str], tuples: dict[str, str], changed: DataFrame, types: set[str]) -> set[str]:
         """Writes the relations ``touched`` anew over roots; those that have rows of this write."""
-        root_of = {t: changed.where(F.col("tag") == t).select(F.col("el").alias("el"), F.col("root").alias("root")) for t in sorted(types)}
+        if not touched:
+            return set()
         frames = []
         for name in touched:
-            r, cols = self.theory.relation(name), self.store.columns(name)
-            paths = [*self.store.runs[name], *([tuples[name]] if name in tuples else [])]
-            rows = self.spark.read.schema(self.store.schema(name)).parquet(*paths)
-            moved = F.lit(False)
-            for i, t in enumerate(r.columns):
-                if t in types:
-                    to = root_of[t].select(F.col("el").alias(f"_e{i}"), F.col("root").alias(f"_r{i}"))
-                    rows = rows.join(to, F.col(f"c{i}") == F.col(f"_e{i}"), "left")
-                    moved = moved | F.col(f"_r{i}").isNotNull()
-            gen = F.when(moved, F.lit(self.gen)).otherwise(F.col("gen")).cast("long").alias("gen")
-            rows = rows.select(*[F.coalesce(f"_r{i}", c).alias(c) if i < r.width and r.columns[i] in types else F.col(c) for i, c in enumerate(cols)], gen)
-            frames.append(self.store.wide(name, rows, cols, F.col("gen")))
+            rows = self.store.table(name)
+            if name in tuples:
+                rows = rows.unionByName(self.spark.read.schema(self.store.schema(name)).parquet(tuples[name]))
+            rows = self.rooted(name, rows, changed, types, False)
+            gen = F.when(F.col("moved"), F.lit(self.gen)).otherwise(F.col("gen")).cast("long").alias("gen")
+            frames.append(self.store.wide(name, rows, self.store.columns(name), gen))
         cols = [f"c{i}" for i in range(self.store.width)]
         # Where a rewritten row meets one that was there, the older stays and is not derived from again.
         whole = self.merged(frames).groupBy("rel", *cols).agg(F.min("gen").alias("gen"))
@@ -221,25 +267,58 @@ class Engine:
         self.delta |= names
         self.delta_defined |= names
 
-    def remember(self, changed: DataFrame) -> None:
-        self.merges.append(changed)
+    def reload_merges(self, paths: list[str]) -> None:
+        """Merges of a saved state."""
+        self.merges, self.union, self.union_whole = [], {}, True
+        for p in paths:
+            self.remember(p)
+
+    def remember(self, path: str) -> None:
+        changed = self.merge_table(path)
+        self.merges.append(path)
         few = changed.limit(components.DRIVER_EDGES + 1).collect() if self.union_whole else []
         if len(few) > components.DRIVER_EDGES:
             self.union_whole, self.union = False, {}
         for tag, el, root in few if self.union_whole else []:
             self.union.setdefault(tag, components.UnionFind()).merge(el, root)
+        if len(self.merges) >= MERGE_STEPS:
+            whole = f"{self.store.root}/roots-{self.gen:05d}"
+            self.all_roots().write.parquet(whole)
+            self.merges = [whole]
 
-    def roots_table(self, type_name: str) -> DataFrame:
-        """(el, root) of all elements of a type that are not their own root."""
+    def all_roots(self) -> DataFrame:
+        """(tag, el, root) of all elements that are not their own root: at most ``MERGE_STEPS`` steps, one after the other."""
         out: DataFrame | None = None
-        for changed in self.merges:
-            step = changed.where(F.col("tag") == type_name).select("el", "root")
+        for path in self.merges:
+            step = self.merge_table(path)
             if out is None:
                 out = step
             else:
-                on = step.select(F.col("el").alias("_el"), F.col("root").alias("_root"))
-                out = out.join(on, F.col("root") == F.col("_el"), "left").select("el", F.coalesce("_root", "root").alias("root")).unionByName(step)
-        return out if out is not None else self.spark.createDataFrame([], "el bigint, root bigint")
+                on = step.select(F.col("tag").alias("_tag"), F.col("el").alias("_el"), F.col("root").alias("_root"))
+                out = out.join(on, (F.col("tag") == F.col("_tag")) & (F.col("root") == F.col("_el")), "left")
+                out = out.select("tag", "el", F.coalesce("_root", "root").alias("root")).unionByName(step)
+        return out if out is not None else self.spark.createDataFrame([], "tag string, el bigint, root bigint")
+
+    def roots_table(self, type_name: str) -> DataFrame:
+        """(el, root) of all elements of a type that are not their own root."""
+        return self.all_roots().where(F.col("tag") == type_name).select("el", "root")
+
+    # Ids ------------------------------------------------------------------------------------------
+    def raise_ids(self, types: set[str]) -> None:
+        """Ids of these types that came from outside are below ``next_id``: one aggregation over the tables that have them."""
+        todo, frames = types & self.loaded, []
+        if not todo:
+            return
+        for name, r in self.theory.relations.items():
+            mine = [i for i, t in enumerate(r.columns) if t in todo]
+            if mine and self.store.runs[name]:
+                pairs = F.array(*[F.struct(F.lit(r.columns[i]).alias("t"), F.col(f"c{i}").alias("x")) for i in mine])
+                frames.append(self.spark.read.schema(self.store.schema(name)).parquet(*self.store.runs[name]).select(F.inline(pairs)))
+        frames += [self.merge_table(p).where(F.col("tag").isin(*sorted(todo))).select(F.col("tag").alias("t"), F.col("el").alias("x")) for p in self.merges]
+        if frames:
+            for t, x in self.merged(frames).groupBy("t").agg(F.max("x")).collect():
+                self.next_id[t] = max(self.next_id[t], x + 1)
+        self.loaded -= todo
 
     # Definitions --------------------------------------------------------------------------------
     def define_round(self) -> bool:
@@ -265,17 +344,18 @@ class Engine:
                 known.append(self.store.wide(t, self.store.table(t), args, 0).drop("gen"))
         if known:
             rows = rows.join(self.merged(known), ["rel", *cols], "left_anti")
-        return self.make(rows)
+        return self.make(rows, sorted({m.define.relation for m in self.makers}))
 
-    def make(self, rows: DataFrame) -> bool:
+    def make(self, rows: DataFrame, functions: list[str]) -> bool:
         """New elements for (rel, arguments); ids follow on: a row's place in its partition, after all partitions before."""
+        self.raise_ids({self.theory.relation(f).columns[-1] for f in functions})
         self.store.writes += 1
         path = f"{self.store.root}/write-{self.store.writes:05d}"
         self.store.live.add(path.rsplit("/", 1)[1])
         rows.withColumn("at", F.monotonically_increasing_id()).write.parquet(path)
         schema = ", ".join(["rel string", *[f"c{i} bigint" for i in range(self.store.width)], "at bigint"])
         stored = self.spark.read.schema(schema).parquet(path).withColumn("part", F.shiftright("at", 33))
-        sort_of = F.create_map(*[F.lit(x) for r in {m.define.relation for m in self.makers} for x in (r, self.theory.relation(r).columns[-1])])
+        sort_of = F.create_map(*[F.lit(x) for f in functions for x in (f, self.theory.relation(f).columns[-1])])
         stored = stored.withColumn("sort", sort_of[F.col("rel")])
         counts = {(r["sort"], r["part"]): (r["lo"], r["n"]) for r in stored.groupBy("sort", "part").agg(F.min("at").alias("lo"), (F.max("at") - F.min("at") + 1).alias("n")).collect()}
         if not counts:
@@ -290,8 +370,8 @@ class Engine:
         placed = stored.join(F.broadcast(shift), ["sort", "part"]).withColumn("el", F.col("at") + F.col("shift"))
         self.gen += 1
         frames = []
-        for rule in {m.define.relation: m for m in self.makers}.values():
-            r = self.theory.relation(rule.define.relation)
+        for f in functions:
+            r = self.theory.relation(f)
             mine = placed.where(F.col("rel") == r.name)
             args, sort = [f"c{i}" for i in range(r.width - 1)], r.columns[-1]
             frames.append(self.store.wide(r.name, mine.select(*args, F.col("el").alias(f"c{r.width - 1}")), self.store.columns(r.name), self.gen))
@@ -338,13 +418,17 @@ class Engine:
         """Joins the many runs of a relation into one, so that a table stays a scan of few files."""
         many = [n for n, runs in self.store.runs.items() if len(runs) > 8]
         if many:
-            frames = [self.store.wide(n, self.store.table(n), self.store.columns(n), F.col("gen")) for n in many]
-            parts = self.store.write(self.merged(frames))
-            for n in many:
-                self.store.runs[n] = []
-                self.store.add(n, parts[n], 0, self.gen)
+            self.join_runs(many)
         self.store.collect_garbage()
 
+    def join_runs(self, names: list[str]) -> None:
+        frames = [self.store.wide(n, self.store.table(n), self.store.columns(n), F.col("gen")) for n in names]
+        parts = self.store.write(self.merged(frames))
+        for n in names:
+            self.store.runs[n] = []
+            if n in parts:
+                self.store.add(n, parts[n], 0, self.gen)
+
     def check_cycles(self) -> None:
         """A cycle of morphisms between model elements is an error, unless cycles are allowed."""
         if self.allow_cycles:
@@ -354,15 +438,46 @@ class Engine:
                 continue
             arrows = self.store.table(m.dom).select("c0", F.col("c1").alias("a")).join(self.store.table(m.cod).select("c0", F.col("c1").alias("b")), "c0")
             edges = arrows.select("a", "b").distinct()
-            # Peel elements without an incoming arrow; what cannot be peeled is on a cycle or behind one.
-            count = edges.count()
-            while count:
+            few = [tuple(r) for r in edges.limit(components.DRIVER_EDGES + 1).collect()]
+            if has_cycle(few) if len(few) <= components.DRIVER_EDGES else self.many_have_cycle(edges):
+                raise MorphismCycleError(f"morphisms of {m.name} form a cycle")
+
+    def many_have_cycle(self, edges: DataFrame) -> bool:
+        """Peels elements without an incoming arrow; what cannot be peeled is on a cycle or behind one.
+
+        Each job peels ``PEEL_LAYERS`` layers, so it takes as many jobs as the longest chain has such runs.
+        """
+        count = edges.count()
+        while count:
+            for _ in range(PEEL_LAYERS):
                 edges = edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
-                path = f"{self.store.root}/arrows-{self.store.writes:05d}"
-                self.store.writes += 1
-                edges.write.parquet(path)
-                edges = self.spark.read.schema("a bigint, b bigint").parquet(path)
-                left = edges.count()
-                if left == count:
-                    raise MorphismCycleError(f"morphisms of {m.name} form a cycle")
-                count = left
+            path = f"{self.store.root}/arrows-{self.store.writes:05d}"
+            self.store.writes += 1
+            edges.write.parquet(path)
+            edges = self.spark.read.schema("a bigint, b bigint").parquet(path)
+            left = edges.count()
+            if left == count:
+                return True
+            count = left
+        return False
+
+
+#: Layers that one job peels: their joins double with each.
+PEEL_LAYERS = 2
+
+
+def has_cycle(edges: list[tuple[int, int]]) -> bool:
+    """Whether few arrows form a cycle, by taking away elements without an incoming one."""
+    after: dict[int, list[int]] = {}
+    incoming: dict[int, int] = {}
+    for a, b in edges:
+        after.setdefault(a, []).append(b)
+        incoming[b] = incoming.get(b, 0) + 1
+    free, gone = [a for a in after if a not in incoming], 0
+    while free:
+        for b in after.get(free.pop(), ()):
+            gone += 1
+            incoming[b] -= 1
+            if not incoming[b]:
+                free.append(b)
+    return gone < len(edges)

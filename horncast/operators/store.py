@@ -4,6 +4,10 @@ A table has a column for each of its relation's columns (``c0``, ``c1``, ...) an
 write that brought the row.  A write holds rows of many relations and is partitioned by relation, so that one
 job serves a whole round, an existing partition means a non-empty delta, and a relation's table is one scan
 over its partitions of all writes.  Nullary relations have one column, always 0.
+
+A large run is not written anew when elements in it are merged: the merge is noted as one the run does not
+know (``stale``), and its rows that hold a merged element are left out when it is read (a merge so noted is
+small and broadcast), until the run is compacted.
 """
 
 from __future__ import annotations
@@ -19,18 +23,22 @@ from ..plans.ir import Compiled
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it."""
+    """The folder that all executors share, as the session names it; only where one machine does all may it be unset."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     return (where or "/tmp/checkpoints").rstrip("/")
 
 
 class Store:
-    def __init__(self, spark: SparkSession, theory: Compiled):
+    def __init__(self, spark: SparkSession, theory: Compiled, root: str | None = None):
         self.spark, self.theory = spark, theory
-        self.root = f"{shared_dir(spark)}/horncast-model-{uuid.uuid4().hex}"
+        self.root = root or f"{shared_dir(spark)}/horncast-model-{uuid.uuid4().hex}"
         self.width = max([1, *(r.width for r in theory.relations.values())])
         self.runs: dict[str, list[str]] = {name: [] for name in theory.relations}
         self.span: dict[str, tuple[int, int]] = {}  # least and greatest gen in a run
+        self.stale: dict[str, list[str]] = {}  # merges that a run does not know
+        self.saved: set[str] = set()  # writes that the last saved state needs
         self.writes = 0
         jvm = spark._jvm
         self.path_of = jvm.org.apache.hadoop.fs.Path
@@ -48,6 +56,23 @@ class Store:
         self.runs[relation].append(path)
         self.span[path] = (first, last)
 
+    def scan(self, relation: str, runs: list[str]) -> DataFrame:
+        """Rows of runs, without those that hold elements merged since."""
+        schema, columns = self.schema(relation), self.theory.relation(relation).columns
+        by_merges: dict[tuple[str, ...], list[str]] = {}
+        for p in runs:
+            by_merges.setdefault(tuple(self.stale.get(p, ())), []).append(p)
+        out = None
+        for merges, paths in by_merges.items():
+            rows = self.spark.read.schema(schema).parquet(*paths)
+            if merges:
+                gone = self.spark.read.schema("tag string, el bigint, root bigint").parquet(*merges)
+                for i, t in enumerate(columns):
+                    of_type = F.broadcast(gone.where(F.col("tag") == t).select(F.col("el").alias("_gone")))
+                    rows = rows.join(of_type, F.col(f"c{i}") == F.col("_gone"), "left_anti")
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
     def table(self, relation: str, after: int | None = None, until: int | None = None) -> DataFrame:
         """Rows of a relation with ``after`` < gen <= ``until``.
 
@@ -59,7 +84,7 @@ class Store:
         runs = self.within(relation, low, high)
         if not runs:
             return self.spark.range(0).select(*[F.lit(0).cast("long").alias(f.name) for f in schema])
-        out = self.spark.read.schema(schema).parquet(*runs)
+        out = self.scan(relation, runs)
         if any(self.span[p][0] <= low for p in runs):
             out = out.where(F.col("gen") > low)
         if any(self.span[p][1] > high for p in runs):
@@ -97,9 +122,14 @@ class Store:
                 out[unquote(n[4:])] = f"{path}/{n}"
         return out
 
+    def names(self) -> list[str]:
+        """What is in the model's folder."""
+        where = self.path_of(self.root)
+        return [x.getPath().getName() for x in self.fs.listStatus(where)] if self.fs.exists(where) else []
+
     def collect_garbage(self) -> None:
-        """Deletes writes of which no run is left."""
-        used = {p[len(self.root) + 1 :].split("/", 1)[0] for runs in self.runs.values() for p in runs} | self.live
+        """Deletes writes of which no run is left, here or in the saved state."""
+        used = {p[len(self.root) + 1 :].split("/", 1)[0] for runs in self.runs.values() for p in runs} | self.live | self.saved
         if not self.fs.exists(self.path_of(self.root)):
             return
         for s in self.fs.listStatus(self.path_of(self.root)):
@@ -107,5 +137,14 @@ class Store:
             if path.getName().startswith(("write-", "arrows-")) and path.getName() not in used:
                 self.fs.delete(path, True)
 
+    def write_text(self, name: str, text: str) -> None:
+        """A small file, complete as soon as it has its name."""
+        part, whole = self.path_of(f"{self.root}/.{name}.part"), self.path_of(f"{self.root}/{name}")
+        out = self.fs.create(part, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        self.fs.delete(whole, False)
+        self.fs.rename(part, whole)
+
     def drop(self) -> None:
         self.fs.delete(self.path_of(self.root), True)

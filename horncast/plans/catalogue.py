@@ -302,9 +302,9 @@ def q_define_restricted(spark, sf):
     given = encode(parts.where("p_size < 25").select("p_brand").distinct(), brands, ["p_brand"], "b")
     bind_ids(m, "H", given, "b")
     m.load("shelf", given.select("b", F.col("b").alias("h")))
-    first_new = m.engine.next_id["H"]
     m.close()
-    return decode(m, named(m.table("shelf"), "p_brand", "h").withColumn("made", F.col("h") >= first_new).drop("h"), "p_brand", "B")
+    shelves = named(m.table("shelf"), "p_brand", "h").join(given.select(F.col("b").alias("h"), F.lit(False).alias("made")), "h", "left")
+    return decode(m, shelves.select("p_brand", F.coalesce("made", F.lit(True)).alias("made")), "p_brand", "B")
 
 
 @query("SELECT least(a.r_regionkey, b.r_regionkey)::BIGINT AS meet, a.r_regionkey::BIGINT AS x, b.r_regionkey::BIGINT AS y FROM region a CROSS JOIN region b")
@@ -365,13 +365,10 @@ def q_match_enum(spark, sf):
     events = read_table(spark, sf, "events").select("event_id", "event_type")
     names = bind(m, "Name", events.where("event_type not in ('click', 'view', 'purchase')"), "event_type")
     constants = {t: m.define(c) for t, c in (("click", "Click"), ("view", "View"), ("purchase", "Purchase"))}
-    first = m.engine.next_id["Kind"]
-    m.load("Other", names.select("el", (F.col("el") + first).alias("k")))
-    m.load("Kind", names.select((F.col("el") + first).alias("k")))
-    m.engine.next_id["Kind"] = first + m.engine.next_id["Name"]
+    others = m.define_all("Other", names, "el", into="k")
     kind = F.create_map(*[F.lit(x) for pair in constants.items() for x in pair])
-    m.load("kind_of", events.select("event_id", kind[F.col("event_type")].alias("k")).where("k is not null"))
-    m.load("kind_of", encode(events, names, ["event_type"], "n").select("event_id", (F.col("n") + first).alias("k")))
+    m.load("kind_of", events.select("event_id", kind[F.col("event_type")].alias("k")))
+    m.load("kind_of", events.join(others.select("event_type", "k"), "event_type").select("event_id", "k"))
     m.close()
     found = [named(m.table(w), "event_id").withColumn("weight", F.lit(w)) for w in ("light", "heavy", "other")]
     return found[0].unionByName(found[1]).unionByName(found[2])

@@ -1,7 +1,7 @@
 """Natural keys and element ids.
 
-``bind`` gives every distinct key an element and keeps the dictionary; ``bind_ids`` takes non-negative
-integer keys as ids themselves, which saves the join.  ``encode`` and ``decode`` go from one to the other;
+``bind`` gives every distinct key an element, once: keys that are bound already keep theirs, and new ones are
+added to the dictionary.  ``bind_ids`` takes integer keys as ids themselves, which saves the join.  ``encode`` and ``decode`` go from one to the other;
 decoding a merged class gives its least key.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..model import Model
 
@@ -23,35 +24,44 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", mode: str = "er
 
 
 def bind_ids(model: Model, type_name: str, df: DataFrame, column: str) -> None:
-    """Elements from a column of non-negative integers, which are the ids."""
-    ids = df.select(F.col(column).cast("long").alias("c0")).where("c0 is not null").distinct()
-    bounds = ids.agg(F.min("c0").alias("lo"), F.max("c0").alias("hi")).first()
-    if bounds["lo"] is None:
-        return
-    if bounds["lo"] < 0:
-        raise ValueError("ids are not negative; use bind")
-    model.engine.next_id[type_name] = max(model.engine.next_id[type_name], bounds["hi"] + 1)
-    model.load(type_name, ids, "c0")
+    """Elements from a column of integers, which are the ids; nulls are left out."""
+    model.load(type_name, df.select(F.col(column).cast("long").alias("c0")).distinct(), "c0")
 
 
 def bind(model: Model, type_name: str, df: DataFrame, *keys: str) -> DataFrame:
-    """A fresh element for each distinct key; the dictionary (el, keys...)."""
-    spark, start = model.spark, model.engine.next_id[type_name]
+    """An element for each distinct key; the whole dictionary (el, keys...).  A key with a null part has none."""
+    spark, type_name = model.spark, model.type_name(type_name)
+    known = model.dictionaries.get(type_name)
+    if known is not None and len(known.columns) != len(keys) + 1:
+        raise ValueError(f"keys of {type_name} have {len(known.columns) - 1} columns")
+    if any(type_name in model.relation(n).columns for n, _ in model.frames):
+        model.flush()  # their ids are taken
+    model.engine.raise_ids({type_name})
     model.store.writes += 1
     path = f"{model.store.root}/keys-{model.store.writes:05d}"
-    distinct = df.select(*keys).distinct()
-    distinct.withColumn("at", F.monotonically_increasing_id()).write.parquet(path)
-    stored = spark.read.schema(distinct.schema.add("at", "long")).parquet(path).withColumn("part", F.shiftright("at", 33))
-    shifts, base = [], start
+    names = [f"key_{i}" for i in range(len(keys))]
+    distinct = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).dropna().distinct()
+    if known is not None:
+        distinct = distinct.join(known.toDF("el", *names).drop("el"), names, "left_anti")
+    distinct.withColumn("at", F.monotonically_increasing_id()).write.parquet(f"{path}-raw")
+    stored = spark.read.schema(distinct.schema.add("at", "long")).parquet(f"{path}-raw").withColumn("part", F.shiftright("at", 33))
+    shifts, base = [], model.engine.next_id[type_name]
     for part, lo, n in sorted(map(tuple, stored.groupBy("part").agg(F.min("at"), F.count(F.lit(1))).collect())):
         shifts.append((part, base - lo))
         base += n
-    model.engine.next_id[type_name] = base
-    shift = spark.createDataFrame(shifts, "part bigint, shift bigint")
-    dictionary = stored.join(F.broadcast(shift), "part").select((F.col("at") + F.col("shift")).alias("el"), *keys)
-    model.load(type_name, dictionary, "el")
-    model.dictionaries[type_name] = dictionary
-    return dictionary
+    files, schema = model.key_files.get(type_name, ([], None))
+    if shifts:
+        model.engine.next_id[type_name] = base
+        shift = spark.createDataFrame(shifts, "part bigint, shift bigint")
+        new = stored.join(F.broadcast(shift), "part").select((F.col("at") + F.col("shift")).alias("el"), *names)
+        new.write.parquet(path)
+        files, schema = [*files, path], schema or ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema)
+        model.load(type_name, spark.read.schema(schema).parquet(path), "el")
+    if not files:
+        return spark.createDataFrame([], T.StructType([T.StructField("el", T.LongType()), *[T.StructField(k, df.schema[k].dataType) for k in keys]]))
+    model.key_files[type_name] = (files, schema)
+    model.dictionaries[type_name] = spark.read.schema(schema).parquet(*files).toDF("el", *keys)
+    return model.dictionaries[type_name]
 
 
 def encode(df: DataFrame, dictionary: DataFrame, keys: list[str], into: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Closure kept up to date over a stream: each micro-batch is loaded as new facts and the model closed again.
 
 Only rows that are new take part in the first round, so a batch costs what it changes.  Programs are
-monotone; a batch that is delivered twice adds nothing.
+monotone, and keys that are bound keep their elements (``bind``), so a batch that is delivered twice adds
+nothing.  The model is saved after each batch: after a restart, ``reopen`` its folder (``model.store.root``) and
+start again with the same checkpoint; a batch whose facts were not saved is delivered again.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ def close_over(stream: DataFrame, model: Model, load: Callable[[Model, DataFrame
         try:
             load(model, kept)
             model.close(**limits)
+            model.save()
         finally:
             kept.unpersist()
 
