@@ -175,7 +175,7 @@ class Model:
         type_name = self.type_name(type_name)
         pairs = df.select(F.lit(type_name).alias("tag"), F.col(left).cast("long").alias("a"), F.col(right).cast("long").alias("b")).dropna()
         self.edge_frames.append(pairs)
-        self.frames.append((type_name, pairs.select(F.inline(F.array(F.struct(F.col("a").alias("c0")), F.struct("b"))))))
+        self.frames.append((type_name, pairs.select(F.inline(F.array(F.struct(F.col("a").alias("c0")), F.struct(F.col("b").alias("c0")))))))
 
     def elements_of(self, name: str, df: DataFrame) -> list[tuple[str, DataFrame]]:
         """Facts that others imply: the (type or membership, rows) that a relation's rows name, each row once."""

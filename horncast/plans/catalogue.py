@@ -215,22 +215,33 @@ def q_same_generation(spark, sf):
 
 
 # Equality -----------------------------------------------------------------------------------------
-SPARSE = "l_returnflag = 'R' AND l_discount >= 0.095 AND l_quantity >= 40"
-
-
-@query(f"""WITH RECURSIVE sold AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE {SPARSE}),
+@query("""WITH RECURSIVE sold AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem),
 link AS (SELECT DISTINCT a.s AS x, b.s AS y FROM sold a JOIN sold b USING (p)),
 reach AS (SELECT DISTINCT s AS x, s AS y FROM sold UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x)
 SELECT x AS s_suppkey, min(y) AS class_key FROM reach GROUP BY x""")
 def q_components(spark, sf):
-    m = start(spark, "type P; type S; pred sold(P, S);\nrule { if sold(p, s); if sold(p, t); then s = t; }")
-    sold = read_table(spark, sf, "lineitem").where(SPARSE).select("l_partkey", "l_suppkey").distinct()
-    m.load("sold", sold)
+    """Suppliers of the same part are merged.  As the values of a function, they cost one edge each, not one for each pair."""
+    m = start(spark, "type P; type S; func seller(P) -> S;")
+    sold = read_table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    m.load("seller", sold)
     m.close()
     keys = sold.select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_suppkey").alias("class_key")).distinct()
     return m.canonical(keys, "class_key", "S")
 
 
+@query("""SELECT DISTINCT l_orderkey * 8 + l_linenumber AS line, min(l_orderkey * 8 + l_linenumber) OVER (PARTITION BY o_custkey) AS class_key
+          FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def q_merge_lines(spark, sf):
+    """All lines of a customer are one: more equalities than the driver merges (from scale 0.01 on)."""
+    m = start(spark, "type C; type L; func line_of(C) -> L;")
+    orders = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long")
+    lines = read_table(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", line.alias("line")).distinct()
+    m.load("line_of", lines)
+    m.close()
+    return m.canonical(lines.select("line", F.col("line").alias("class_key")), "class_key", "L")
+
+
 @query("""WITH RECURSIVE e AS (SELECT n_nationkey AS x, (n_nationkey * 2) % 25 AS y FROM nation UNION SELECT n_nationkey, (n_nationkey + 5) % 25 FROM nation WHERE n_nationkey % 5 = 1),
 r AS (SELECT n_nationkey AS x, n_nationkey AS y FROM nation UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
 SELECT a.x::BIGINT AS k, min(a.y)::BIGINT AS class_key FROM r a JOIN r b ON a.x = b.y AND a.y = b.x GROUP BY a.x""")
@@ -327,6 +338,100 @@ def q_empty_premise(spark, sf):
     return m.table("base").agg(F.count(F.lit(1)).alias("constants")).crossJoin(m.elements("R").agg((F.count(F.lit(1)) - 1).alias("regions")))
 
 
+@query("""WITH node AS (SELECT n_nationkey::BIGINT AS k FROM nation UNION SELECT 100 + r_regionkey FROM region)
+SELECT count(*) AS elements, count(DISTINCT k) AS named, (SELECT count(*) FROM nation) AS made, 0::BIGINT AS shared FROM node""")
+def q_load_then_define(spark, sf):
+    """Ids that only a fact names are elements, and those of made elements are none of them."""
+    m = start(spark, "type V; type W; pred edge(V, V); func mark(V) -> W; func twin(V) -> V;\nrule { if edge(x, _); then y := twin(x)!; then mark(y)!; }")
+    edges = read_table(spark, sf, "nation").select(F.col("n_nationkey").alias("x"), (100 + F.col("n_regionkey")).alias("y"))
+    m.load("edge", edges)
+    m.close()
+    twins, seen = named(m.table("twin"), "x", "el"), edges.select("x").union(edges.select("y")).distinct().toDF("el")
+    elements = m.elements("V").join(twins, "el", "left_anti")
+    made = twins.agg(F.countDistinct("el").alias("made")).crossJoin(twins.join(seen, "el", "left_semi").agg(F.count(F.lit(1)).alias("shared")))
+    return elements.agg(F.count(F.lit(1)).alias("elements"), F.countDistinct("el").alias("named")).crossJoin(made)
+
+
+@query("SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_returnflag = 'R' AND l_partkey % 2 = 0")
+def q_func_insert(spark, sf):
+    """A conclusion gives a function its value."""
+    m = start(spark, """
+        type P; type L; type S; func part(L) -> P; func seller(L) -> S; pred even(P); pred back(L); func seen(P, S) -> S;
+        rule { if p = part(l); if s = seller(l); if even(p); if back(l); then seen(p, s) = s; }""")
+    line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("l")
+    lines = read_table(spark, sf, "lineitem").select(line, "l_partkey", "l_suppkey", "l_returnflag")
+    # Lines that share a number would make their parts equal: the key is made of all of the line.
+    lines = lines.withColumn("l", F.abs(F.xxhash64("l", "l_partkey", "l_suppkey", "l_returnflag")))
+    m.load("part", lines, "l", "l_partkey")
+    m.load("seller", lines, "l", "l_suppkey")
+    m.load("even", read_table(spark, sf, "part").where("p_partkey % 2 = 0"), "p_partkey")
+    m.load("back", lines.where("l_returnflag = 'R'"), "l")
+    return named(m.close().table("seen"), "p", "s", "same").select("p", "s")
+
+
+@query("SELECT p_brand, min(p_partkey) AS part, count(*) AS parts FROM part GROUP BY p_brand")
+def q_equate(spark, sf):
+    """Equalities from a table, and single ones; roots and what they make equal."""
+    m = start(spark, "type P; pred big(P);")
+    parts = read_table(spark, sf, "part").select("p_partkey", "p_brand")
+    first = parts.groupBy("p_brand").agg(F.min("p_partkey").alias("first"))
+    pairs = parts.join(first, "p_brand")
+    bind_ids(m, "P", parts, "p_partkey")
+    one = pairs.where("p_partkey != first").orderBy("p_partkey").first()
+    a, b = one["p_partkey"], one["first"]
+    m.load_equal("P", pairs, "p_partkey", "first")
+    m.equate("P", a, b)
+    m.close()
+    if not m.are_equal("P", a, b) or m.root("P", a) > a:
+        return parts.limit(0)
+    classes = m.canonical(parts.withColumn("part", F.col("p_partkey").cast("long")), "part", "P").groupBy("p_brand", "part").agg(F.count(F.lit(1)).alias("parts"))
+    return classes.join(m.elements("P"), F.col("part") == F.col("el"), "left_semi").select("p_brand", "part", "parts")
+
+
+@query("""SELECT o_orderkey, o_custkey AS customer, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS returned,
+          (SELECT c_nationkey FROM customer WHERE c_custkey = o_custkey)::BIGINT AS nation FROM orders""")
+def q_holds_eval(spark, sf):
+    """Membership and values for a whole table of arguments."""
+    m = start(spark, "type O; type C; type N; func customer_of(O) -> C; func nation_of(C) -> N; pred returned(O);")
+    orders = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    m.load("customer_of", orders)
+    m.load("nation_of", read_table(spark, sf, "customer"), "c_custkey", "c_nationkey")
+    m.load("returned", read_table(spark, sf, "lineitem").where("l_returnflag = 'R'").select("l_orderkey"))
+    m.close()
+    out = m.eval_all("customer_of", orders.select("o_orderkey"), "o_orderkey", into="customer")
+    return m.eval_all("nation_of", m.holds_all("returned", out, "o_orderkey", into="returned"), "customer", into="nation")
+
+
+@query("""SELECT DISTINCT c_custkey AS c, l_partkey AS p FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey
+          JOIN part ON p_partkey = l_partkey WHERE c_mktsegment = 'BUILDING' AND p_size > 40""")
+def q_query(spark, sf):
+    """Matches of premises that are no rule."""
+    m = start(spark, "type O; type C; type P; func customer_of(O) -> C; pred line(O, P); pred big(P); pred builder(C);")
+    m.load("customer_of", read_table(spark, sf, "orders"), "o_orderkey", "o_custkey")
+    m.load("line", read_table(spark, sf, "lineitem"), "l_orderkey", "l_partkey")
+    m.load("big", read_table(spark, sf, "part").where("p_size > 40"), "p_partkey")
+    m.load("builder", read_table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'"), "c_custkey")
+    return m.query("if line(o, p); if c = customer_of(o); if big(p); if builder(c);", ["c", "p"])
+
+
+@query("SELECT event_type, CASE WHEN event_type = 'error' THEN 'Bad' ELSE 'Named' END AS made, count(*) AS events FROM events GROUP BY ALL")
+def q_cases(spark, sf):
+    """Elements of an enum made at once and taken apart again."""
+    m = start(spark, "type Name; enum Kind { Bad(), Named(Name) } type E; func kind_of(E) -> Kind;")
+    events = read_table(spark, sf, "events").select("event_id", "event_type")
+    names = bind(m, "Name", events, "event_type")
+    kinds = m.define_all("Named", names.where("event_type != 'error'"), "el", into="k").select("event_type", "k")
+    m.define("Bad")
+    bad = m.define_all("Bad", events.where("event_type = 'error'").select("event_type").distinct(), into="k")
+    m.load("kind_of", events.join(kinds.unionByName(bad), "event_type").select("event_id", "k"))
+    m.close()
+    sizes = m.table("kind_of").groupBy(F.col("c1").alias("el")).agg(F.count(F.lit(1)).alias("events"))
+    cases = m.all_cases("Kind").join(sizes, "el")
+    labels = names.select(F.col("el").alias("name"), "event_type")
+    out = cases.join(labels, F.get("args", F.lit(0)) == F.col("name"), "left")
+    return out.select(F.coalesce("event_type", F.lit("error")).alias("event_type"), F.col("case").alias("made"), "events")
+
+
 # Branches -----------------------------------------------------------------------------------------
 @query("SELECT c_custkey FROM customer WHERE c_acctbal > 5000 OR c_mktsegment = 'BUILDING'")
 def q_branch_or(spark, sf):
@@ -387,6 +492,46 @@ def q_interleaved(spark, sf):
 
 
 # Models and morphisms -----------------------------------------------------------------------------
+TWO_MODELS = """
+type C; type S; pred rich(C);
+model Country { type Who; pred has(C); pred rich(C); rule { if has(c); if rich(c); then rich(c); } }
+model Market { type Who; pred has(S, C); pred big(S); rule { if has(s, c); if has(s, d); if c = d; then big(s); } }
+rule { if n: Country; if n.rich(c); if m: Market; if m.has(_, c); then rich(c); }
+"""
+
+
+@query("""SELECT 'country' AS model, c_nationkey::BIGINT AS place, c_custkey AS who FROM customer UNION ALL
+          SELECT 'market', dense_rank() OVER (ORDER BY c_mktsegment) - 1, c_custkey FROM customer UNION ALL
+          SELECT 'both', -1, c_custkey FROM customer WHERE c_acctbal > 5000""")
+def q_two_models(spark, sf):
+    """Two models whose members have the same names, of different shapes."""
+    m = start(spark, TWO_MODELS)
+    customers = read_table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("n"), F.col("c_mktsegment").alias("s"), "c_acctbal")
+    ranks = customers.select("s").distinct().withColumn("k", (F.row_number().over(Window.orderBy("s")) - 1).cast("long"))  # a handful of segments
+    sold = customers.join(ranks, "s")
+    m.load("Country.has", customers, "n", "c_custkey")
+    m.load("Country.rich", customers.where("c_acctbal > 5000"), "n", "c_custkey")
+    m.load("Market.has", sold.withColumn("seller", F.lit(7)), "k", "seller", "c_custkey")
+    m.close()
+    place = lambda df, model, *names: named(df, *names).select(F.lit(model).alias("model"), "place", "who")
+    both = named(m.table("rich"), "who").select(F.lit("both").alias("model"), F.lit(-1).cast("long").alias("place"), "who")
+    return place(m.table("Country.has"), "country", "place", "who").unionByName(place(m.table("Market.has"), "market", "place", "seller", "who")).unionByName(both)
+
+
+@query("""WITH sold AS (SELECT DISTINCT s_nationkey AS n, l_partkey AS p FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
+          SELECT n::BIGINT AS area, p, TRUE AS wide FROM sold WHERE p % 2 = 1 UNION ALL SELECT n, p, FALSE FROM sold WHERE p % 2 = 0""")
+def q_ambient_own(spark, sf):
+    """Members without a prefix mean those of the model's own element; ``own`` leaves out what arrows bring."""
+    m = start(spark, "type Part; model Area { pred has(part: Part); pred odd(part: Part); pred wide(part: Part); rule { if has(p); if odd(p); then wide(p); } }")
+    areas(spark, sf, m)
+    sold = sold_in(spark, sf)
+    m.load("has", sold)
+    m.load("odd", sold.where("p % 2 = 1"))
+    m.close()
+    own = lambda name: named(m.own(name), "area", "p")
+    return own("has").join(own("wide").withColumn("wide", F.lit(True)), ["area", "p"], "left").select("area", "p", F.coalesce("wide", F.lit(False)).alias("wide"))
+
+
 AREAS = "model Area { type Who; pred has(part: Part); }"
 
 
