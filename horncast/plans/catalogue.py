@@ -233,11 +233,12 @@ def q_components(spark, sf):
           FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 def q_merge_lines(spark, sf):
     """All lines of a customer are one: more equalities than the driver merges (from scale 0.01 on)."""
-    m = start(spark, "type C; type L; func line_of(C) -> L;")
+    m = start(spark, "type C; type L; type O; func line_of(C) -> L; func line_in(O) -> L;")
     orders = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long")
-    lines = read_table(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", line.alias("line")).distinct()
-    m.load("line_of", lines)
+    lines = read_table(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "o_orderkey", line.alias("line")).distinct()
+    m.load("line_of", lines, "o_custkey", "line")
+    m.load("line_in", lines, "o_orderkey", "line")
     m.close()
     return m.canonical(lines.select("line", F.col("line").alias("class_key")), "class_key", "L")
 
