@@ -15,12 +15,12 @@ text), so copies are collapsed by one aggregation and cost nothing later.  Texts
 candidates.  A bucket is never expanded into its pairs: it has a leader, and each member is tested against
 that one only.  The verified links are merged into classes; a bucket whose members are all of one class is
 done, which leaves texts that are close to others, but not close enough, and those that only another member
-than the leader links.  For these (``leftover_links``) the exact similarity is computed in blocks: buckets
-that share texts form a group; a group's largest class is one side and all its other texts are the other;
-blocks of at most ``BLOCK_ROWS`` texts and about ``BLOCK_BYTES`` meet in one task, where matrix products
-over the shingles that both blocks have count all overlaps at once.  Only links come out.  So no pair of
-candidates of different classes is left without an exact test, no task holds a group, and texts of the
-largest class never meet each other again.
+than the leader links.  For these (``leftover_links``) the exact similarity is computed in blocks: a text is at
+home in the largest of its open buckets, and the texts at home there are dealt to blocks of about ``BLOCK_ROWS``
+texts and ``BLOCK_BYTES``, those of a large class to blocks of their own.  Two blocks meet, in one task, if some
+open bucket has texts of both, unless both are of one class; there, matrix products over the shingles that both
+have count all overlaps at once.  Only links come out.  So no pair of candidates of different classes is left
+without an exact test, no task holds a bucket, and texts of a large class never meet each other again.
 
 Verification: a pair's texts are joined to it and J_P is computed exactly from their shingles.
 
@@ -195,36 +195,22 @@ def unresolved(members: DataFrame, classes: DataFrame) -> DataFrame:
     return named.join(open_, "band", "left_semi")
 
 
-def leftover_groups(held: DataFrame, texts: DataFrame) -> DataFrame:
-    """(group, key, class, text) of the texts of unresolved buckets; texts that share a bucket are in one group."""
-    first = settle(held.groupBy("band").agg(F.min("key").alias("first")), "firsts")
-    edges = held.join(first, "band").where("key != first").select(F.col("key").alias("a"), F.col("first").alias("b"))
-    groups = components(edges)
-    keys = held.select("key", "class").distinct().join(groups, F.col("key") == F.col("a"), "left").select("key", "class", F.coalesce("b", "key").alias("group"))
-    return settle(keys.join(texts, "key").select("group", "key", "class", "text"), "leftover")
-
-
-def leftover_blocks(rows: DataFrame) -> DataFrame:
-    """Rows dealt to block pairs: (group, kind, i, j, side, key, class, text).
-
-    Kind m: block i of the largest class (side l) and block j of the others (side r).  Kind o: blocks i <= j of
-    the others; where i = j, side b stands for both.
-    """
-    per = rows.groupBy("group", "class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
-    whole = settle(per.groupBy("group").agg(F.max_by(F.struct("class", "n", "bytes"), F.struct("n", "class")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")), "groups")
-    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
-    shape = whole.select("group", F.col("top.class").alias("main"), blocks(F.col("top.n"), F.col("top.bytes")).alias("mains"), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("others"))
-    dealt = rows.join(shape, "group")
-    own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
-    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    columns = ["group", "kind", "i", "j", "side", "key", "class", "text"]
-    main = dealt.where("class = main").select("*", F.lit("m").alias("kind"), own("mains").alias("i"), F.explode(upto("others")).alias("j"), F.lit("l").alias("side"))
-    other = dealt.where("class != main").withColumn("at", own("others"))
-    to_main = other.select("*", F.lit("m").alias("kind"), F.explode(upto("mains")).alias("i"), F.col("at").alias("j"), F.lit("r").alias("side"))
-    to_other = other.withColumn("other", F.explode(upto("others")))
-    side = F.when(F.col("at") == F.col("other"), "b").when(F.col("at") < F.col("other"), "l").otherwise("r")
-    to_other = to_other.select("*", F.lit("o").alias("kind"), F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), side.alias("side"))
-    return main.select(columns).unionByName(to_main.select(columns)).unionByName(to_other.select(columns))
+def leftover_blocks(held: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(block, key, class, text) of the texts of open buckets, and the pairs (i, j) of blocks that meet, i <= j."""
+    at_home = held.groupBy("key", "class").agg(F.max_by("band", F.struct("n", "band")).alias("home"))
+    rows = settle(at_home.join(texts, "key"), "leftover")
+    per = rows.groupBy("home", "class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    labelled = settle(per.withColumn("label", F.when(F.col("n") >= BLOCK_ROWS // 2, F.hex("class")).otherwise("")), "labels")
+    shape = labelled.groupBy("home", "label").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_ROWS), F.ceil(F.sum("bytes") / BLOCK_BYTES), F.lit(1)).cast("int").alias("blocks"))
+    dealt = labelled.select("home", "class", "label").join(shape, ["home", "label"])
+    chunk = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    rows = rows.join(dealt, ["home", "class"]).select(F.concat_ws(" ", "home", "label", chunk).alias("block"), "label", "key", "class", "text")
+    rows = settle(rows, "blocks")
+    seen = held.select("band", "key").join(rows.select("key", "block", "label"), "key").select("band", "block", "label").distinct()
+    seen = settle(seen, "seen")
+    other = seen.select("band", F.col("block").alias("j"), F.col("label").alias("other"))
+    pairs = seen.withColumnRenamed("block", "i").join(other, "band").where("i <= j and not (label = other and label != '')")
+    return rows.drop("label"), settle(pairs.select("i", "j").distinct(), "meetings")
 
 
 def block_links(left: list, right: list, shingle: int, threshold: float, same: bool) -> list[tuple[bytes, bytes]]:
@@ -263,8 +249,8 @@ def block_links(left: list, right: list, shingle: int, threshold: float, same: b
     return [(left[i][0], right[j][0]) for i, j in zip(*np.nonzero(near), strict=True) if probability_jaccard(sets[0][i], sets[1][j]) >= threshold - 1e-9]
 
 
-def leftover_links(rows: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """Links (a, b) between texts of one group and different classes, all of them."""
+def leftover_links(rows: DataFrame, meetings: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Links (a, b) between texts of different classes in blocks that meet, all of them."""
     by_value()
 
     def meet(table: pa.Table) -> pa.Table:
@@ -274,7 +260,10 @@ def leftover_links(rows: DataFrame, shingle: int, threshold: float) -> DataFrame
         pairs = [(max(p), min(p)) for p in found]
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
 
-    return leftover_blocks(rows).groupBy("group", "kind", "i", "j").applyInArrow(meet, "a binary, b binary")
+    columns = ["i", "j", "side", "key", "class", "text"]
+    left = rows.join(meetings, F.col("block") == F.col("i")).withColumn("side", F.when(F.col("i") == F.col("j"), "b").otherwise("l"))
+    right = rows.join(meetings.where("i < j"), F.col("block") == F.col("j")).withColumn("side", F.lit("r"))
+    return left.select(columns).unionByName(right.select(columns)).groupBy("i", "j").applyInArrow(meet, "a binary, b binary")
 
 
 def near_duplicates(
@@ -303,9 +292,9 @@ def near_duplicates(
     links = settle(verified(pairs, texts, shingle, threshold), "links")
     classes = components(links)
     held = settle(unresolved(members, classes), "open")
-    leftover = leftover_groups(held, texts)
-    more = settle(leftover_links(leftover, shingle, threshold), "links")
-    drop_scratch(members, company, led, pairs, held, leftover, texts)
+    leftover, meetings = leftover_blocks(held, texts)
+    more = settle(leftover_links(leftover, meetings, shingle, threshold), "links")
+    drop_scratch(members, company, led, pairs, held, leftover, meetings, texts)
     if not more.isEmpty():
         links = links.unionByName(more)
         classes = components(links)
