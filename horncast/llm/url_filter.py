@@ -22,6 +22,7 @@ that are called as the new ones.
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -123,7 +124,8 @@ class Cascade:
 def build_cascades(listed: dict[str, list[str]], universe: DataFrame, column: str, n_universe: int) -> dict[str, Cascade]:
     """A cascade for each name; ``universe`` has the keys in ``column``, and is read once.  ``n_universe`` may be an estimate."""
     spark, names = universe.sparkSession, [a for a in listed if listed[a]]
-    tables = {a: spark.createDataFrame([(k,) for k in sorted(set(listed[a]))], f"{column} string") for a in names}
+    keys = lambda a: F.from_json(F.lit(json.dumps(sorted(set(listed[a])))), "array<string>")
+    tables = {a: spark.range(1).select(F.explode(keys(a)).alias(column)) for a in names}
     first = {}
     for a in names:
         n = len(set(listed[a]))
