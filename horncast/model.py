@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,11 +24,15 @@ from .lang.errors import TheoryError
 from .lang.parser import parse
 from .operators import components, premise
 from .operators.engine import Engine
-from .operators.store import Store
+from .operators.store import Store, scanned
 from .plans.compiler import Compiler, Facts, RuleError, Walk, compile_theory
 from .plans.ir import Compiled, Relation, member_relation
 
 
+#: Results that come from this many bytes or more are computed by the model, not by whoever reads them.
+SETTLED_BYTES = 64 << 20
+
+
 class Theory:
     """A compiled theory."""
 
@@ -435,6 +440,16 @@ class Model:
             return self.spark.createDataFrame([], ", ".join(f"{v} bigint" for v in variables))
         return self.engine.merged(found).distinct()
 
+    def settled(self, rows: DataFrame) -> DataFrame:
+        """``rows``; where they come from much, they are computed now, in tasks of bounded size, and kept with the model."""
+        size = scanned(rows)
+        if size < SETTLED_BYTES:
+            return rows
+        path = f"{self.store.root}/settled-{uuid.uuid4().hex}"
+        with self.store.bounded(size):
+            rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def classes(self, type_name: str) -> DataFrame:
         """(el, root) for every element that is not its class's root, as of the last close."""
         type_name = self.type_name(type_name)

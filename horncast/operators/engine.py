@@ -116,8 +116,8 @@ class Engine:
             self.keyed[at] = self.store.table(name).groupBy(*cols).count().where("count > 1").isEmpty()
         return self.keyed[at]
 
-    def conclusions(self) -> list[tuple[str, FlatRule | None, DataFrame]]:
-        """Tagged rows, their tag, and the rule that they come from if they are all different."""
+    def conclusions(self) -> list[tuple[str, FlatRule | str | None, DataFrame]]:
+        """Tagged rows, their tag, and the rule (or function) that they come from if they are all different (or few differ)."""
         found = []
         for rule in self.plain:
             if not rule.premise:
@@ -133,7 +133,7 @@ class Engine:
                     found.append((EQ + t, None, self.tagged(EQ + t, b.where(F.col(f"v{left}") != F.col(f"v{right}")), (left, right))))
         for name in sorted(self.delta):
             if self.theory.relation(name).is_function:
-                found.append((EQ + self.theory.relation(name).columns[-1], None, self.functionality(name)))
+                found.append((EQ + self.theory.relation(name).columns[-1], name, self.functionality(name)))
         return found
 
     def tagged(self, tag: str, bindings: DataFrame, variables: tuple[int, ...]) -> DataFrame:
@@ -148,7 +148,8 @@ class Engine:
         new = self.store.table(name, after=self.seen)
         rows = self.store.table(name).select(*args, value)
         if args:
-            rows = rows.join(new.select(*args).distinct(), args, "left_semi")
+            if any(self.store.span[p][0] <= self.seen for p in self.store.runs[name]):  # else all rows are new
+                rows = rows.join(new.select(*args).distinct(), args, "left_semi")
             least = rows.groupBy(*args).agg(F.min(value).alias("m"), F.max(value).alias("x")).where("m != x").drop("x")
             edges = rows.join(least, args)
         else:
@@ -166,18 +167,18 @@ class Engine:
             parts = self.written(found)
         return {k: v for k, v in parts.items() if not k.startswith(EQ)}, {k[1:]: v for k, v in parts.items() if k.startswith(EQ)}
 
-    def written(self, found: list[tuple[str, FlatRule | None, DataFrame]]) -> dict[str, str]:
+    def written(self, found: list[tuple[str, FlatRule | str | None, DataFrame]]) -> dict[str, str]:
         """Writes what is new of conclusions; the folder of each tag that has rows.
 
         Only relations with rows are compared with what is known, which moves all that is known of them.  Where
         that is much, the conclusions are written first, to see which these are; where they are few, they are
         broadcast to find those that are known.
         """
-        sources: dict[str, list[FlatRule | None]] = {}
+        sources: dict[str, list[FlatRule | str | None]] = {}
         for tag, rule, _ in found:
             sources.setdefault(tag, []).append(rule)
-        # Variants of one rule share no match.
-        apart = {tag for tag, rules in sources.items() if rules[0] is not None and all(r is rules[0] for r in rules)}
+        # Variants of one rule share no match.  Edges of functions are no more than their rows, and may repeat.
+        apart = {tag for tag, rules in sources.items() if rules[0] is not None and all(r is rules[0] or isinstance(r, str) for r in rules)}
         old = sorted(t for t in sources if not t.startswith(EQ) and self.store.runs[t])
         much = self.store.bytes([p for t in old for p in self.store.runs[t]]) >= MUCH_BYTES
 
@@ -228,7 +229,11 @@ class Engine:
 
     def apply(self, tuples: dict[str, str], edges: DataFrame | None) -> None:
         """Inserts rows of folders ``tuples`` (gen = self.gen), after merging along ``edges``."""
-        changed = components.roots(edges) if edges is not None else None
+        with self.store.bounded():
+            changed = components.roots(edges) if edges is not None else None
+            self.merge_all(tuples, changed)
+
+    def merge_all(self, tuples: dict[str, str], changed: DataFrame | None) -> None:
         if changed is None:
             for name, path in tuples.items():
                 self.store.add(name, path, self.gen, self.gen)

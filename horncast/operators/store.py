@@ -66,7 +66,7 @@ def bounded(spark: SparkSession, size: int) -> Iterator[None]:
 def scanned(df: DataFrame) -> int:
     """Bytes of the tables that a DataFrame reads, as far as the planner knows them."""
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    sizes = [int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())]
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     return sum(s for s in sizes if s < 1 << 60)  # what it does not know is about 2^63
 
 

@@ -236,11 +236,11 @@ def q_merge_lines(spark, sf):
     m = start(spark, "type C; type L; type O; func line_of(C) -> L; func line_in(O) -> L;")
     orders = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long")
-    lines = read_table(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "o_orderkey", line.alias("line")).distinct()
+    lines = m.settled(read_table(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "o_orderkey", line.alias("line")).distinct())
     m.load("line_of", lines, "o_custkey", "line")
     m.load("line_in", lines, "o_orderkey", "line")
     m.close()
-    return m.canonical(lines.select("line", F.col("line").alias("class_key")), "class_key", "L")
+    return m.settled(m.canonical(lines.select("line", F.col("line").alias("class_key")), "class_key", "L"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT n_nationkey AS x, (n_nationkey * 2) % 25 AS y FROM nation UNION SELECT n_nationkey, (n_nationkey + 5) % 25 FROM nation WHERE n_nationkey % 5 = 1),

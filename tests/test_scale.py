@@ -56,3 +56,29 @@ def test_much_that_is_known_is_not_derived_again(spark, monkeypatch):
         m = Theory("type V; pred e(V, V); pred r(V, V);\nrule { if e(x, y); then r(x, y); }\nrule { if r(x, y); if r(y, z); then r(x, z); }", "tc").model(spark)
         m.load("e", spark.createDataFrame([(i, (i + 1) % 6) for i in range(6)], "a long, b long"))
         assert sorted(map(tuple, m.close().table("r").collect())) == [(a, b) for a in range(6) for b in range(6)]
+
+
+def test_stars_of_functions_are_merged_in_one_pass(spark, monkeypatch):
+    from horncast.operators import components
+
+    monkeypatch.setattr(components, "DRIVER_EDGES", 0)
+    passes, union = [], components.F.coalesce
+    monkeypatch.setattr(components.F, "coalesce", lambda *c: passes.append(c) or union(*c))
+    # Orders 1..4 of lines, merged in orders and in customers: the least of an order has an edge to the least of its customer.
+    rows = [("L", x, x - x % 10) for x in range(100) if x % 10] + [("L", x, x - x % 50) for x in range(100) if x % 50]
+    got = components.roots(spark.createDataFrame(rows, "tag string, a long, b long")).collect()
+    assert sorted(map(tuple, got)) == [("L", x, x - x % 50) for x in range(100) if x % 50]
+    assert len(passes) == 1
+
+
+def test_stars_agree_with_the_driver(spark, monkeypatch):
+    import random
+
+    from horncast.operators import components
+
+    r = random.Random(1)
+    rows = [(t, r.randrange(60), r.randrange(60)) for t in "AB" for _ in range(45)] + [("C", i, i + 1) for i in range(40)] + [("C", 3, 3), ("D", 5, 5)]
+    edges = spark.createDataFrame(rows, "tag string, a long, b long")
+    want = sorted(map(tuple, components.roots(edges).collect()))
+    monkeypatch.setattr(components, "DRIVER_EDGES", 0)
+    assert sorted(map(tuple, components.roots(edges).collect())) == want
