@@ -263,7 +263,8 @@ class Model:
             if known:
                 rows = rows.join(self.engine.merged(known), ["rel", *[f"c{i}" for i in range(store.width)]], "left_anti")
             self.engine.gen += 1
-            parts = store.write(rows.withColumn("gen", F.lit(self.engine.gen).cast("long")))
+            with store.bounded(sum(scanned(df) for _, df in loaded)):
+                parts = store.write(rows.withColumn("gen", F.lit(self.engine.gen).cast("long")))
         edges = []
         if merge and self.equalities:
             edges.append(self.spark.createDataFrame(self.equalities, "tag string, a bigint, b bigint"))
@@ -438,7 +439,7 @@ class Model:
             found.append(rows.select(*[F.col(f"v{x}").alias(v) for v, x in zip(variables, roots, strict=True)]))
         if not found:
             return self.spark.createDataFrame([], ", ".join(f"{v} bigint" for v in variables))
-        return self.engine.merged(found).distinct()
+        return self.settled(self.engine.merged(found).distinct())
 
     def settled(self, rows: DataFrame) -> DataFrame:
         """``rows``; where they come from much, they are computed now, in tasks of bounded size, and kept with the model."""

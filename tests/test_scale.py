@@ -82,3 +82,24 @@ def test_stars_agree_with_the_driver(spark, monkeypatch):
     want = sorted(map(tuple, components.roots(edges).collect()))
     monkeypatch.setattr(components, "DRIVER_EDGES", 0)
     assert sorted(map(tuple, components.roots(edges).collect())) == want
+
+
+def test_tables_come_in_by_tasks_of_bounded_size(spark, monkeypatch):
+    from horncast import model
+    from horncast.operators import store
+
+    monkeypatch.setattr(store, "PARTITION_BYTES", 100)
+    monkeypatch.setattr(model, "SETTLED_BYTES", 1)
+    seen, write = [], store.Store.write
+    settings = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.maxConcurrentOutputFileWriters")
+    before = [spark.conf.get(s, None) for s in settings]
+    monkeypatch.setattr(store.Store, "write", lambda self, rows: seen.append([spark.conf.get(s) for s in settings]) or write(self, rows))
+    m = Theory("type O; type C; func of(O) -> C; pred big(C);", "t").model(spark)
+    m.load("of", spark.range(1000).selectExpr("id a", "id % 7 b"))
+    m.load("big", spark.range(3))
+    found = m.query("if c = of(o); if big(c);", ["o", "c"])
+    partitions, advised, files = seen[0]
+    assert int(partitions) >= 80 and int(advised) == store.ADVISED_BYTES and int(files) == store.OPEN_FILES
+    assert "settled-" in found.inputFiles()[0]  # and does not depend on who reads it
+    assert sorted(map(tuple, found.collect())) == [(i, i % 7) for i in range(1000) if i % 7 < 3]
+    assert [spark.conf.get(s, None) for s in settings] == before
