@@ -29,7 +29,8 @@ from .plans.compiler import Compiler, Facts, RuleError, Walk, compile_theory
 from .plans.ir import Compiled, Relation, member_relation
 
 
-#: Results that come from this many bytes or more are computed by the model, not by whoever reads them.
+#: Results that come from this many bytes or more are computed by the model, not by whoever reads them; tables of as many
+#: are dealt out before their rows are made distinct.
 SETTLED_BYTES = 64 << 20
 
 
@@ -258,12 +259,16 @@ class Model:
         self.pending, self.frames = {}, []
         parts = {}
         if frames:
-            rows = self.engine.merged(frames).dropDuplicates()
+            keys, size = ["rel", *[f"c{i}" for i in range(store.width)]], sum(scanned(df) for _, df in loaded)
+            rows = self.engine.merged(frames)
+            if size >= SETTLED_BYTES:  # else each scan's task makes its rows distinct, however many a row group of the file has
+                rows = rows.repartition(*keys)
+            rows = rows.dropDuplicates()
             known = [store.wide(n, store.table(n), store.columns(n), 0).drop("gen") for n in sorted(names) if store.runs[n]]
             if known:
-                rows = rows.join(self.engine.merged(known), ["rel", *[f"c{i}" for i in range(store.width)]], "left_anti")
+                rows = rows.join(self.engine.merged(known), keys, "left_anti")
             self.engine.gen += 1
-            with store.bounded(sum(scanned(df) for _, df in loaded)):
+            with store.bounded(size):
                 parts = store.write(rows.withColumn("gen", F.lit(self.engine.gen).cast("long")))
         edges = []
         if merge and self.equalities:

@@ -1,5 +1,7 @@
 """Work and memory that must not grow faster than the tables."""
 
+from pyspark.sql import functions as F
+
 from horncast import Theory
 from horncast.operators import premise
 
@@ -103,3 +105,23 @@ def test_tables_come_in_by_tasks_of_bounded_size(spark, monkeypatch):
     assert "settled-" in found.inputFiles()[0]  # and does not depend on who reads it
     assert sorted(map(tuple, found.collect())) == [(i, i % 7) for i in range(1000) if i % 7 < 3]
     assert [spark.conf.get(s, None) for s in settings] == before
+
+
+def test_rows_that_come_in_are_dealt_out_before_they_are_made_distinct(spark, monkeypatch, tmp_path):
+    from horncast import model
+    from horncast.operators import store
+
+    spark.range(3000).selectExpr("id % 1000 a", "id % 7 b").write.parquet(f"{tmp_path}/t")
+    table, write = spark.read.parquet(f"{tmp_path}/t"), store.Store.write
+    for least, dealt in ((1, True), (1 << 40, False)):
+        monkeypatch.setattr(model, "SETTLED_BYTES", least)
+        plans = []
+        monkeypatch.setattr(store.Store, "write", lambda self, rows, plans=plans: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or write(self, rows))
+        m = Theory("type X; pred p(X, X);", "t").model(spark)
+        for a in (900, 400, 1000):  # what is known does not come in again, nor what comes twice
+            m.load("p", table.where(F.col("a") < a))
+            m.insert("p", 5, 5)
+            m.flush()
+        assert ("Aggregate" in plans[0].rsplit("Exchange", 1)[1]) is not dealt
+        rows = sorted(map(tuple, m.table("p").collect()))
+        assert rows == sorted({(i % 1000, i % 7) for i in range(3000)} | {(5, 5)})
