@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Bytes of input for each shuffle partition; most bytes of a coalesced one, and of a scan's split; files a task has open.
-PARTITION_BYTES, ADVISED_BYTES, SPLIT_BYTES, OPEN_FILES = 2 << 20, 4 << 20, 32 << 20, 16
+PARTITION_BYTES, ADVISED_BYTES, SPLIT_BYTES, OPEN_FILES = 2 << 20, 4 << 20, 8 << 20, 16
 
 
 @contextmanager

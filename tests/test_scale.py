@@ -107,6 +107,26 @@ def test_tables_come_in_by_tasks_of_bounded_size(spark, monkeypatch):
     assert [spark.conf.get(s, None) for s in settings] == before
 
 
+def test_a_task_scans_little_of_a_table_that_comes_in(spark, tmp_path):
+    import random
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n, draw = 1_200_000, random.Random(1)
+    a, b = (pa.array([draw.getrandbits(62) for _ in range(n)], pa.int64()) for _ in range(2))
+    pq.write_table(pa.table({"a": a, "b": b}), f"{tmp_path}/t.parquet", row_group_size=100_000, use_dictionary=False, compression="none")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # else so small a file is dealt to all cores
+    try:
+        m = Theory("type X; pred p(X, X, X);", "t").model(spark)
+        m.load("p", spark.read.parquet(f"{tmp_path}/t.parquet").select("a", "b", F.spark_partition_id().alias("task")))
+        tasks = m.table("p").groupBy("c2").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sum(t["count"] for t in tasks) == n
+    assert max(t["count"] for t in tasks) * 16 <= (8 << 20) + 100_000 * 16  # a split, and what is left of its last row group
+
+
 def test_rows_that_come_in_are_dealt_out_before_they_are_made_distinct(spark, monkeypatch, tmp_path):
     from horncast import model
     from horncast.operators import store
